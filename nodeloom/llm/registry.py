@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nodeloom.llm import bpe
+from nodeloom.llm import bpe, hash_tree, quality
 from nodeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,15 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 @_query
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality.judged(table(spark, sf_dir, "documents")).select(columns)
+
+
+@_query
+def op8_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = hash_tree.tree(40)
+    return hash_tree.placed(table(spark, sf_dir, "documents"), root, hash_tree.grown(root, 40))
