@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nodeloom.llm import bpe, hash_tree, quality
+from nodeloom.llm import bpe, hash_tree, quality, secrets
 from nodeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = hash_tree.tree(40)
     return hash_tree.placed(table(spark, sf_dir, "documents"), root, hash_tree.grown(root, 40))
+
+
+@_query
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
