@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nodeloom.llm import bpe, hash_tree, quality, secrets
+from nodeloom.llm import bpe, hash_tree, quality, secrets, substrings
 from nodeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,8 @@ def op8_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
