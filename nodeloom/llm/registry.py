@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from nodeloom.llm import bpe, hash_tree, quality, secrets, substrings
+from nodeloom.llm import bpe, centroids, hash_tree, quality, secrets, substrings
 from nodeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +44,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = centroids.learn(docs)
+    return centroids.identified(docs, model).withColumn("held_out", centroids.held_out(F.col("doc_id"))).select("doc_id", "held_out", "lang_pred", "score", "rejected")
