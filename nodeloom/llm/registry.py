@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeloom.llm import bpe, centroids, hash_tree, quality, secrets, substrings
+from nodeloom.llm import bpe, centroids, hash_tree, quality, secrets, substrings, templates
 from nodeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = centroids.learn(docs)
     return centroids.identified(docs, model).withColumn("held_out", centroids.held_out(F.col("doc_id"))).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@_query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
