@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeloom.llm import bpe, centroids, hash_tree, quality, secrets, substrings, templates
+from nodeloom.llm import bpe, centroids, chosen_path, hash_tree, quality, secrets, substrings, templates
 from nodeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.grouped(table(spark, sf_dir, "documents"), width=3, at_least=85)
