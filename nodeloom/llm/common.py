@@ -74,14 +74,22 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+_STEP = 1 << 20
+
+
 def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit Rabin-Karp hash of each data[start:end] of bytes, from one prefix sum; equal slices hash alike."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[data] * powers(BASE, len(data)), out=prefix[1:])
-    value = (prefix[ends] - prefix[starts]) * powers(BASE_INV, len(data) + 1)[starts]
-    return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit Rabin-Karp hash of each data[start:end] of bytes, from prefix sums; equal slices hash alike. Slices are in order and apart."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):  # in steps, so that long texts take little memory
+        base = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, base + _STEP, "right")))
+        a, b = starts[at:to] - base, ends[at:to] - base
+        part = data[base : base + int(b[-1])]
+        prefix = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(BYTE_CODE[part] * powers(BASE, len(part)), out=prefix[1:])
+        out[at:to] = (prefix[b] - prefix[a]) * powers(BASE_INV, len(part) + 1)[a]
+        at = to
+    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 #: Bytes of [\x20\x09-\x0D].
@@ -102,9 +110,14 @@ def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     n = len(codes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    prefix = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * powers(BASE, len(codes)), out=prefix[1:])
-    return mix((prefix[width:] - prefix[:-width]) * powers(BASE_INV, n))
+    out = np.empty(n, np.uint64)
+    for at in range(0, n, _STEP):
+        part = codes[at : at + _STEP + width - 1]
+        prefix = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * powers(BASE, len(part)), out=prefix[1:])
+        own = prefix[width:] - prefix[:-width]
+        out[at : at + len(own)] = own * powers(BASE_INV, len(own))
+    return mix(out)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -5,8 +5,9 @@ same text). One pass hashes all windows (prefix sums of a polynomial over word h
 group of texts, later occurrences are settled at once; only the first of each hash goes on, packed:
 for each bucket of hash space one row that holds the hashes' bytes in text order, the ids and the
 starts (``_pack``). So a window that a third of all texts share costs one entry per group, not one per
-text, and rows stay even. For each bucket the first occurrence over all groups is found and the others
-are sent back to their texts, which drop the union of the windows (maximal intervals).
+text, and rows stay even. For each bucket the first occurrence over all groups is found; the
+others are sent on, packed again by parts of the id space, merge into maximal intervals, one row for
+each text that loses words, and are joined to the texts.
 
 Hashes have 8 bytes of which the bucket gives some bits and ``digest_bytes`` are sent; windows of
 different words with equal hashes are taken for equal (64 bits or more in all: about
@@ -31,7 +32,7 @@ from nodeloom.llm.bpe import groups
 from nodeloom.llm.common import slice_hashes, texts_in, window_hashes, words_of
 
 WIDTH = 20
-GROUP_BYTES = 8_000_000
+GROUP_BYTES = 4_000_000
 #: Bytes of input for each bucket of hash space: the larger, the fewer rows; the entries of one bucket are sorted in memory.
 BUCKET_BYTES = 8_000_000
 _LAST = np.iinfo(np.int64).max
@@ -70,8 +71,17 @@ def _later(hashes: np.ndarray) -> np.ndarray:
     return same
 
 
-def _starts_blob(starts: np.ndarray) -> bytes:
-    return starts.astype("<u4").tobytes()
+def _by_part(ids: np.ndarray, starts: np.ndarray, parts: int) -> list[tuple[int, bytes, bytes]]:
+    """(part of the id space, ids with how many starts each has, starts), one for each part."""
+    part = ids % parts
+    order = np.lexsort((starts, ids, part))
+    part, ids, starts = part[order], ids[order], starts[order]
+    out, edges = [], np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        heads = np.flatnonzero(np.diff(ids[a:b], prepend=ids[a] - 1)) + a
+        table = np.stack([ids[heads], np.diff(np.append(heads, b))]).astype("<i8")
+        out.append((int(part[a]), zlib.compress(table.tobytes(), 1), starts[a:b].astype("<u4").tobytes()))
+    return out
 
 
 def _pack(hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray, digest_bytes: int) -> tuple[bytes, bytes, bytes, bytes]:
@@ -104,7 +114,7 @@ _PACKED = "bucket int, grp long, digests binary, ids binary, gaps binary, wide b
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, digest_bytes: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key (the id; for null the largest long), starts binary (unsigned 32-bit): where windows begin that also start earlier; several rows for one id."""
+    """key (the id; for null the largest long), spans binary (pairs of unsigned 32-bit): the maximal intervals of words in windows that also start earlier; one row for each text that has any."""
     buckets = buckets or buckets_for(docs)
     shift = np.uint64(64 - (buckets - 1).bit_length())
 
@@ -125,10 +135,8 @@ def repeats(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, dig
                 later = _later(hashes)
                 out: list[tuple] = []
                 settled = np.flatnonzero(later)
-                cuts = np.flatnonzero(np.diff(text[settled])) + 1
-                for part in np.split(settled, cuts) if len(settled) else []:
-                    i = int(text[part[0]])
-                    out.append((int(own[i]) % buckets, -1, b"", own[i : i + 1].astype("<i8").tobytes(), b"", _starts_blob(starts[part])))
+                if len(settled):
+                    out = [(k, -1, b"", table, b"", wide) for k, table, wide in _by_part(own[text[settled]], starts[settled], buckets)]
                 firsts = np.flatnonzero(~later)
                 bucket = (hashes[firsts] >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(firsts), np.int64)
                 by = np.argsort(bucket, kind="stable")
@@ -145,14 +153,9 @@ def repeats(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, dig
     def settled(batches):
         import pyarrow as pa
 
-        def rows(ids, starts):
-            """One row for each id; ids in any order."""
-            order = np.lexsort((starts, ids))
-            ids, starts = ids[order], starts[order]
-            cuts = np.flatnonzero(np.diff(ids)) + 1
-            heads = np.concatenate([[0], cuts]).astype(np.int64)
-            blobs = [_starts_blob(x) for x in np.split(starts, cuts)]
-            return pa.RecordBatch.from_arrays([pa.array(ids[heads], pa.int64()), pa.array(blobs, pa.binary())], ["key", "starts"])
+        def put(packed):
+            columns = zip(*packed, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "ids", "starts"])
 
         def close(parts):
             if not parts:
@@ -174,7 +177,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, dig
             head = at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
             at = at[(ids[at] != ids[head]) | (starts[at] != starts[head])]
             if len(at):
-                yield rows(ids[at], starts[at])
+                yield put(_by_part(ids[at], starts[at], buckets))
 
         bucket, parts, passed = None, [], []
         for batch in batches:
@@ -183,16 +186,46 @@ def repeats(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, dig
                     yield from close(parts)
                     bucket, parts = k, []
                 if grp == -1:
-                    passed.append((np.frombuffer(blobs[1], "<i8")[0], blobs[3]))
+                    passed.append((k, blobs[1], blobs[3]))
                 else:
                     parts.append((grp, _unpack(*blobs, digest_bytes)))
             if passed:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in passed], pa.int64()), pa.array([x for _, x in passed], pa.binary())], ["key", "starts"])
+                yield put(passed)
                 passed = []
         yield from close(parts)
 
+    def gathered(batches):
+        import pyarrow as pa
+
+        def merged(parts):
+            if not parts:
+                return
+            tables = [np.frombuffer(zlib.decompress(x), "<i8").reshape(2, -1) for x, _ in parts]
+            ids = np.concatenate([np.repeat(*t) for t in tables])
+            starts = np.concatenate([np.frombuffer(x, "<u4") for _, x in parts]).astype(np.int64)
+            order = np.lexsort((starts, ids))
+            ids, starts = ids[order], starts[order]
+            new = np.ones(len(ids), bool)  # the first window of a maximal interval
+            new[1:] = (ids[1:] != ids[:-1]) | (starts[1:] > starts[:-1] + width)
+            first = np.flatnonzero(new)
+            spans = np.stack([starts[first], starts[np.append(first[1:], len(ids)) - 1] + width], 1).astype("<u4")
+            owners = ids[first]
+            cuts = np.flatnonzero(np.diff(owners)) + 1
+            blobs = [x.tobytes() for x in np.split(spans, cuts)]
+            yield pa.RecordBatch.from_arrays([pa.array(owners[np.append(0, cuts)], pa.int64()), pa.array(blobs, pa.binary())], ["key", "spans"])
+
+        now, parts = None, []
+        for batch in batches:
+            for k, table, starts in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                if k != now:
+                    yield from merged(parts)
+                    now, parts = k, []
+                parts.append((table, starts))
+        yield from merged(parts)
+
     packed = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(hashed, _PACKED)
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(settled, "key long, starts binary")
+    found = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(settled, "part int, ids binary, starts binary")
+    return found.repartition("part").sortWithinPartitions("part").mapInArrow(gathered, "key long, spans binary")
 
 
 def removed(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -207,29 +240,24 @@ def digests(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_co
 
 def _applied(docs: DataFrame, width: int, id_col: str, text_col: str, digest: bool, options: dict) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
-    found = repeats(docs, width, id_col=id_col, text_col=text_col, **options).groupBy("key").agg(F.collect_list("starts").alias("starts"))
+    found = repeats(docs, width, id_col=id_col, text_col=text_col, **options)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("key"), F.col(id_col).alias(id_col), F.col(text_col).alias(text_col))
-    both = rows.join(found, "key", "left").select(id_col, text_col, "starts")
+    both = rows.join(found, "key", "left").select(id_col, text_col, "spans")
 
     def apply(batches):
         import pyarrow as pa
 
         for batch in batches:
             n_words, n_removed, kept, intervals = [], [], [], []
-            for text, blobs in zip(texts_in(batch, text_col), batch.column("starts").to_pylist(), strict=True):
+            for text, blob in zip(texts_in(batch, text_col), batch.column("spans").to_pylist(), strict=True):
                 words = text.split()  # of bytes: at [\x20\x09-\x0D] only
                 n_words.append(len(words))
-                spans = []
-                if blobs:
-                    starts = np.unique(np.frombuffer(b"".join(blobs), "<u4").astype(np.int64))
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    starts = starts[starts + width <= len(words)]
-                    edge[starts] += 1
-                    edge[starts + width] -= 1
-                    gone = np.cumsum(edge)[:-1] > 0
-                    turns = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).reshape(-1, 2)
-                    spans = turns.tolist()
-                    words = [x for x, g in zip(words, gone.tolist(), strict=True) if not g]
+                spans = np.frombuffer(blob or b"", "<u4").reshape(-1, 2).tolist()
+                at, parts = 0, []
+                for a, b in spans:
+                    parts += words[at:a]
+                    at = b
+                words = parts + words[at:] if spans else words
                 n_removed.append(n_words[-1] - len(words))
                 stays = b" ".join(words)
                 kept.append(hashlib.sha256(stays).hexdigest() if digest else stays.decode())

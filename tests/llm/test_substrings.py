@@ -41,7 +41,7 @@ def made(seed, n=300, vocabulary=400):
 def test_equals_brute_force(docs, monkeypatch):
     for seed, options in ((1, {}), (2, {"buckets": 1}), (3, {"buckets": 1024, "digest_bytes": 8})):
         rows = made(seed)
-        frame = docs(rows).repartition(7).withColumns({"starts": F.lit(1), "key": F.lit("k"), "n_words": F.lit(0)})
+        frame = docs(rows).repartition(7).withColumns({"spans": F.lit(1), "starts": F.lit(1), "key": F.lit("k"), "n_words": F.lit(0)})
         want = brute(rows, 20)
         got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.digests(frame, **options).collect()}
         assert got == {i: (a, b, hashlib.sha256(c.encode()).hexdigest()) for i, (a, b, c) in want.items()}
