@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import mix, ragged, slice_hashes, stored, texts_in, window_hashes, words_of
+from nodeloom.llm.common import Scratch, mix, ragged, slice_hashes, stored, texts_in, window_hashes, words_of
 from nodeloom.llm.components import components
 
 TREES, DEPTH = 16, 6
@@ -314,15 +314,20 @@ def links(docs: DataFrame, reps: DataFrame, width: int, at_least: int, id_col: s
 
 def grouped(docs: DataFrame, width: int = 5, at_least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (the least id of those that links of at least ``at_least`` % reach), kept, for every row."""
-    rows = stored(features(docs, width, id_col, text_col).withColumns({"id": F.col("doc"), "doc": F.coalesce("doc", F.lit(_NULL))}), "features")
+    spark = docs.sparkSession
+    with Scratch(spark) as scratch:
+        full = stored(features(docs, width, id_col, text_col).withColumns({"id": F.col("doc"), "doc": F.coalesce("doc", F.lit(_NULL))}), "features")
+        first = stored(full.filter("n > 0").groupBy("cls").agg(F.min("doc").alias("doc")), "classes")
+        reps = stored(full.filter("n > 0").select("cls", "doc", "sketch", "mins").join(first, ["cls", "doc"]).dropDuplicates(["cls"]), "reps")
+        rows = stored(full.select("id", "doc", "n", "cls"), "rows")
+        scratch.drop(full)
+        joined = components(links(docs, reps, width, at_least, id_col, text_col))
+        roots = first.join(joined.withColumnRenamed("u", "cls"), "cls", "left").select("cls", "doc", F.coalesce("v", "cls").alias("root"))
+        least = roots.groupBy("root").agg(F.min("doc").alias("component"))
+        of_class = stored(roots.join(least, "root").select("cls", "component"), "components")
+        scratch.keep(rows, of_class)
     sets = rows.filter("n > 0")
-    first = stored(sets.groupBy("cls").agg(F.min("doc").alias("doc")), "classes")
-    reps = stored(sets.select("cls", "doc", "sketch", "mins").join(first, ["cls", "doc"]).dropDuplicates(["cls"]), "reps")
-    joined = components(links(docs, reps, width, at_least, id_col, text_col))
-    roots = first.join(joined.withColumnRenamed("u", "cls"), "cls", "left").select("cls", "doc", F.coalesce("v", "cls").alias("root"))
-    least = roots.groupBy("root").agg(F.min("doc").alias("component"))
-    of_class = stored(roots.join(least, "root").select("cls", "component"), "components")
-    some = sets.select("id", "doc", "n", "cls").join(of_class, "cls").select("id", "doc", "n", "component")
+    some = sets.join(of_class, "cls").select("id", "doc", "n", "component")
     out = some.union(rows.filter("n = 0").select("id", "doc", "n", F.col("doc").alias("component")))
     component = F.when(F.col("component") != _NULL, F.col("component"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))

@@ -38,12 +38,47 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+class Scratch:
+    """Stored tables of one computation; on leaving, all but the kept ones are deleted."""
+
+    _open: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.frames = spark, {}, []  # frames are held, so that their ids stay theirs
+
+    def __enter__(self) -> Scratch:
+        Scratch._open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Scratch._open.remove(self)
+        for path in self.paths.values():
+            delete(self.spark, path)
+
+    def keep(self, *frames: DataFrame) -> None:
+        for df in frames:
+            self.paths.pop(id(df), None)
+
+    def drop(self, df: DataFrame) -> None:
+        if path := self.paths.pop(id(df), None):
+            delete(self.spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if Scratch._open:
+        Scratch._open[-1].paths[id(out)] = path
+        Scratch._open[-1].frames.append(out)
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import stored
+from nodeloom.llm.common import Scratch, stored
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -27,11 +27,14 @@ def _small(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """From links (u, v) of longs: u, v, where v is the least member of u's component; least members have no row."""
-    edges = stored(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    state = None
-    while True:
-        sums = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if not sums[0] or sums == state:
-            return edges
-        state = sums
-        edges = stored(_small(_large(edges)), "links")
+    with Scratch(edges.sparkSession) as scratch:
+        edges = stored(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        state = None
+        while True:
+            sums = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+            if not sums[0] or sums == state:
+                scratch.keep(edges)
+                return edges
+            state, before = sums, edges
+            edges = stored(_small(_large(edges)), "links")
+            scratch.drop(before)
