@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeloom.llm import bpe, centroids, chosen_path, hash_tree, quality, secrets, substrings, templates
+from nodeloom.llm import bpe, centroids, chosen_path, hash_tree, quality, secrets, separators, substrings, templates, tool_calls
 from nodeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,15 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.grouped(table(spark, sf_dir, "documents"), width=3, at_least=85)
+
+
+@_query
+def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.turns_as_calls(table(spark, sf_dir, "conversations"))
+    return tool_calls.linked(calls, results, tool_calls.TURN_SCHEMAS)
+
+
+@_query
+def op7_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = separators.documents(separators.blocks_of_texts(table(spark, sf_dir, "documents")))
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", "terminated")
