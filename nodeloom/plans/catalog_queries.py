@@ -1,4 +1,299 @@
 """Registered queries over the star schema read as an entity graph, each with its DuckDB counterpart."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nodeloom.functions import casts, codec
+from nodeloom.operators import export, spanning
+from nodeloom.plans import star
+from nodeloom.plans.star import table
+from nodeloom.sources import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+_EDGES = """
+ SELECT 'nation_' || n_nationkey AS src_id, 'nation' AS src_name, 'region_' || n_regionkey AS dst_id, 'region' AS dst_name FROM nation WHERE n_regionkey IS NOT NULL
+ UNION ALL SELECT 'customer_' || c_custkey, 'customer', 'nation_' || c_nationkey, 'nation' FROM customer WHERE c_nationkey IS NOT NULL
+ UNION ALL SELECT 'supplier_' || s_suppkey, 'supplier', 'nation_' || s_nationkey, 'nation' FROM supplier WHERE s_nationkey IS NOT NULL
+ UNION ALL SELECT 'orders_' || o_orderkey, 'orders', 'customer_' || o_custkey, 'customer' FROM orders WHERE o_custkey IS NOT NULL"""
+_NODES = """
+ SELECT 'region_' || r_regionkey AS id, 'region' AS name FROM region UNION ALL SELECT 'nation_' || n_nationkey, 'nation' FROM nation
+ UNION ALL SELECT 'customer_' || c_custkey, 'customer' FROM customer UNION ALL SELECT 'supplier_' || s_suppkey, 'supplier' FROM supplier
+ UNION ALL SELECT 'orders_' || o_orderkey, 'orders' FROM orders"""
+
+
+# -- the graph ------------------------------------------------------------------------------------
+
+
+@_query("""
+SELECT r.region, 'nation_' || n.n_nationkey AS nation, 'customer_' || c.c_custkey AS customer, 'supplier_' || s.s_suppkey AS supplier, 'orders_' || o.o_orderkey AS orders
+FROM (SELECT DISTINCT 'region_' || n_regionkey AS region, n_regionkey AS k FROM nation WHERE n_regionkey IS NOT NULL) r
+LEFT JOIN nation n ON n.n_regionkey = r.k LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey
+LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey LEFT JOIN orders o ON o.o_custkey = c.c_custkey""")
+def spanning_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spanning.spanning_table(star.edges(spark, sf_dir), "region", star.TYPE_LINKS, unique=True)
+
+
+@_query(f"""
+SELECT dst_id AS parent_id, dst_name AS parent_name, count(*) AS n_children, string_agg(src_id, ',' ORDER BY src_id) AS children
+FROM ({_EDGES}) WHERE src_name <> 'orders' GROUP BY 1, 2""")
+def links_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spanning.adjacency(star.edges(spark, sf_dir).filter("src_name != 'orders'"))
+    by_id = F.array_sort(F.transform("children", lambda c: c["id"]))
+    return rows.select("parent_id", "parent_name", F.size("children").cast("long").alias("n_children"), F.array_join(by_id, ",").alias("children"))
+
+
+@_query(f"SELECT DISTINCT dst_id AS id FROM ({_EDGES}) WHERE dst_name = 'nation'")
+def root_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spanning.roots(star.edges(spark, sf_dir), "nation")
+
+
+@_query(f"""
+WITH RECURSIVE e AS ({_EDGES}), reached AS (
+ SELECT DISTINCT dst_id AS root_id, dst_name AS root_name, dst_id AS id, dst_name AS name FROM e WHERE dst_name = 'region'
+ UNION SELECT r.root_id, r.root_name, e.src_id, e.src_name FROM reached r JOIN e ON e.dst_id = r.id AND e.dst_name = r.name)
+SELECT root_id, root_name, id, name FROM reached""")
+def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spanning.reachable_by_type(star.edges(spark, sf_dir), "region", star.TYPE_LINKS)
+
+
+@_query("""
+SELECT 'region_' || n_regionkey || ',' || 'nation_' || n_nationkey || ',' || 'supplier_' || s_suppkey AS members FROM nation JOIN supplier ON s_nationkey = n_nationkey
+UNION ALL SELECT 'region_' || n_regionkey || ',' || 'nation_' || n_nationkey FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey)
+UNION ALL SELECT 'region_' || r_regionkey FROM region WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_regionkey = r_regionkey)""")
+def antichain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, s, r = (table(spark, sf_dir, x) for x in ("nation", "supplier", "region"))
+    region, nation = star.node_id("region", "n_regionkey"), star.node_id("nation", "n_nationkey")
+    sets = n.join(s, F.col("s_nationkey") == F.col("n_nationkey")).select(F.array(region, nation, star.node_id("supplier", "s_suppkey")).alias("set"))
+    sets = sets.union(n.select(F.array(region, nation))).union(r.select(F.array(star.node_id("region", "r_regionkey"))))
+    return spanning.antichain(sets, "set").select(F.array_join("set", ",").alias("members"))
+
+
+# -- inspection -----------------------------------------------------------------------------------
+
+
+@_query(f"SELECT name, count(*) AS n_nodes, coalesce(any_value(n_edges), 0)::BIGINT AS n_edges FROM ({_NODES}) LEFT JOIN (SELECT src_name, count(*) AS n_edges FROM ({_EDGES}) GROUP BY 1) ON src_name = name GROUP BY name")
+def stats_by_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star.graph(spark, sf_dir).stats()
+
+
+@_query(f"SELECT (SELECT count(*) FROM ({_NODES})) AS n_nodes, (SELECT count(DISTINCT name) FROM ({_NODES})) AS n_types, (SELECT count(*) FROM ({_EDGES})) AS n_edges")
+def stats_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star.graph(spark, sf_dir).totals()
+
+
+@_query("SELECT * FROM (VALUES (0, 'region'), (1, 'nation'), (2, 'customer'), (3, 'supplier'), (4, 'orders')) t(position, name)")
+def show_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star.graph(spark, sf_dir).node_names()
+
+
+@_query(f"SELECT id, name FROM ({_NODES}) ORDER BY name, id LIMIT 25")
+def show_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = star.graph(spark, sf_dir).show(25)
+    return lines.select(F.get_json_object("entity", "$.id").alias("id"), F.get_json_object("entity", "$.name").alias("name"))
+
+
+@_query("SELECT * FROM (VALUES ('region', '', 0, 0), ('nation', '', 1, 1), ('customer', '', 1, 2), ('supplier', '', 1, 0), ('orders', '', 1, 0)) t(name, ontology_reference, n_links, n_properties)")
+def meta_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star.graph(spark, sf_dir).meta_nodes().drop("values")
+
+
+@_query("SELECT * FROM (VALUES ('nation', 'regions', 'region', 'MANY_TO_ONE'), ('customer', 'nations', 'nation', 'MANY_TO_ONE'), ('supplier', 'nations', 'nation', 'MANY_TO_ONE'), ('orders', 'customers', 'customer', 'MANY_TO_ONE')) t(node, link, dst, multiplicity)")
+def meta_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star.graph(spark, sf_dir).meta_links()
+
+
+@_query("SELECT * FROM (VALUES ('customer', 'c_name', 'term of c_name', 'star'), ('customer', 'c_mktsegment', 'term of c_mktsegment', 'star')) t(node, property, ontology_reference, source)")
+def show_metadata_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = star.graph(spark, sf_dir).meta_properties().filter("node = 'customer'")
+    return rows.select("node", "property", "ontology_reference", F.col("values")["source"].alias("source"))
+
+
+@_query("SELECT * FROM (VALUES ('o_orderstatus', 'string', false, NULL), ('o_totalprice', 'double', false, NULL), ('o_orderpriority', 'string', true, '5-LOW')) t(field, kind, is_enum, default_value)")
+def show_schema_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = star.catalog()["orders"].spark
+    rows = [(f.name, f.dataType.simpleString(), f.metadata["enum"], f.metadata.get("default")) for f in fields]
+    return spark.createDataFrame(rows, "field string, kind string, is_enum boolean, default_value string")
+
+
+# -- envelope, codec, casts -----------------------------------------------------------------------
+
+
+@_query("""SELECT 'nation_' || n_nationkey AS id, 'nation' AS name, json_object('n_name', n_name)::VARCHAR AS object, 'region_' || n_regionkey AS dst_id FROM nation
+UNION ALL SELECT 'region_' || r_regionkey, 'region', json_object('r_name', r_name)::VARCHAR, NULL FROM region""")
+def entity_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = star.graph(spark, sf_dir).entities.filter(F.col("name").isin("nation", "region"))
+    slim = F.to_json(F.when(F.col("name") == "nation", F.to_variant_object(F.struct(F.variant_get("object", "$.n_name", "string").alias("n_name")))).otherwise(F.col("object")))
+    return rows.select("id", "name", slim.alias("object"), F.get("relations", 0)["dst_id"].alias("dst_id"))
+
+
+@_query("SELECT 'supplier_' || s_suppkey AS id, s_name, s_acctbal FROM supplier")
+def entity_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star.graph(spark, sf_dir).node("supplier").drop("relations")
+
+
+_ENCODE = "array_to_string(list_transform(string_split({0}, ''), lambda c, i: CASE WHEN regexp_matches(c, '^[A-Za-z]$') OR (regexp_matches(c, '^[0-9]$') AND i > 1) THEN c ELSE '_' || printf('%x', unicode(c)) || '_' END), '')"
+
+
+@_query(f"SELECT o_orderkey, {_ENCODE.format('o_orderpriority')} AS priority FROM orders")
+def enum_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", codec.encode(F.col("o_orderpriority")).alias("priority"))
+
+
+@_query("SELECT p_partkey, p_brand AS brand, p_name AS name FROM part")
+def enum_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part")
+    coded = rows.select("p_partkey", codec.encode(F.col("p_brand")).alias("b"), codec.encode(F.col("p_name")).alias("n"))
+    return coded.select("p_partkey", codec.decode(F.col("b")).alias("brand"), codec.decode(F.col("n")).alias("name"))
+
+
+_RAW = "CASE WHEN event_id % 7 = 0 THEN '' WHEN event_id % 7 = 1 THEN 'null' WHEN event_id % 7 = 2 THEN 'TRUE' WHEN event_id % 7 = 3 THEN event_type ELSE event_id::VARCHAR END"
+
+
+@_query(f"""SELECT event_id, nullif(raw, '') AS s, CASE WHEN raw NOT IN ('', 'null') THEN try_cast(raw AS DOUBLE) END AS d, CASE WHEN raw <> '' THEN try_cast(raw AS BIGINT) END AS l, CASE lower(raw) WHEN 'true' THEN true WHEN 'false' THEN false END AS b
+FROM (SELECT event_id, {_RAW} AS raw FROM events)""")
+def tsv_typed_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 7
+    raw = F.when(k == 0, "").when(k == 1, "null").when(k == 2, "TRUE").when(k == 3, F.col("event_type")).otherwise(F.col("event_id").cast("string"))
+    rows = table(spark, sf_dir, "events").select("event_id", raw.alias("raw"))
+    return rows.select("event_id", *[casts.typed(F.col("raw"), kind).alias(kind[0]) for kind in ("string", "double", "long", "boolean")])
+
+
+@_query("SELECT p_partkey, len(string_split(p_name || ',' || p_brand, ','))::BIGINT AS n, string_split(p_name || ',' || p_brand, ',')[1] AS first, p_brand AS last FROM part")
+def array_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("['"), F.col("p_name"), F.lit(","), F.col("p_brand"), F.lit("']"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", casts.array_parse(text).alias("a"))
+    return rows.select("p_partkey", F.size("a").cast("long").alias("n"), F.get("a", 0).alias("first"), F.element_at("a", -1).alias("last"))
+
+
+@_query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'validated' WHEN 1 THEN NULL ELSE event_type END AS state FROM events")
+def default_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 3
+    text = F.when(k == 0, "{}").when(k == 1, '{"state":null}').otherwise(F.to_json(F.struct(F.col("event_type").alias("state"))))
+    rows = table(spark, sf_dir, "events").select("event_id", F.parse_json(text).alias("v"))
+    return rows.select("event_id", casts.default_fill(F.col("v"), "state", "string", "validated").alias("state"))
+
+
+# -- ingest ---------------------------------------------------------------------------------------
+
+
+@_query("SELECT 'order_' || o_orderkey AS id, CASE WHEN o_orderkey % 4 <> 0 THEN 'customer_' || o_custkey END AS dst_id, CASE WHEN o_orderkey % 4 <> 0 THEN 'customer' END AS dst_name, o_orderpriority AS priority FROM orders")
+def json_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parent = F.struct(star.node_id("customer", "o_custkey").alias("submitter_id"))
+    linked = F.to_json(F.struct(star.node_id("order", "o_orderkey").alias("submitter_id"), "o_orderpriority", parent.alias("customers")))
+    coded = F.to_json(F.struct(star.node_id("order", "o_orderkey").alias("code"), "o_orderpriority", F.struct(F.lit("c").alias("code")).alias("customers")))
+    text = F.when(F.col("o_orderkey") % 4 != 0, linked).otherwise(coded)
+    records = table(spark, sf_dir, "orders").select(F.parse_json(text).alias("value"), F.lit(0).alias("ordinal"))
+    rows = ingest.json_entities(records, star.catalog()["orders"], "DEV", "test")
+    link = F.get("relations", 0)
+    return rows.select("id", link["dst_id"].alias("dst_id"), link["dst_name"].alias("dst_name"), F.variant_get("object", "$.o_orderpriority", "string").alias("priority"))
+
+
+@_query("SELECT 'order_' || o_orderkey AS id, CASE WHEN o_orderkey % 4 <> 0 THEN 'customer_' || o_custkey ELSE '' END AS dst_id, 'customers' AS dst_name, o_totalprice AS total FROM orders")
+def tsv_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(
+        star.node_id("order", "o_orderkey").alias("submitter_id"),
+        F.when(F.col("o_orderkey") % 4 != 0, star.node_id("customer", "o_custkey")).alias("customers.submitter_id"),
+        F.col("o_totalprice").cast("string").alias("o_totalprice"),
+        F.lit(0).alias("ordinal"),
+    )
+    out = ingest.tsv_entities(rows, star.catalog()["orders"], "DEV", "test", resolve_links=False)
+    link = F.get("relations", 0)
+    return out.select("id", link["dst_id"].alias("dst_id"), link["dst_name"].alias("dst_name"), F.variant_get("object", "$.o_totalprice", "double").alias("total"))
+
+
+@_query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'project' WHEN 1 THEN 'subject' WHEN 2 THEN 'customer' ELSE event_type END AS parent FROM events")
+def plural_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 4
+    name = F.when(k == 0, "projects").when(k == 1, "subjects").when(k == 2, "customers").otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", export.plural_parents(name, star.catalog()).alias("parent"))
+
+
+# -- evolution ------------------------------------------------------------------------------------
+
+
+@_query(f"SELECT id, CASE name WHEN 'supplier' THEN 'vendor' ELSE name END AS name FROM ({_NODES})")
+def rename_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star.graph(spark, sf_dir).rename_node("supplier", "vendor").entities.select("id", "name")
+
+
+@_query("SELECT 'orders_' || o_orderkey AS id, CASE o_orderpriority WHEN '5-LOW' THEN '5-LOWEST' ELSE o_orderpriority END AS priority FROM orders")
+def rename_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    renamed = star.graph(spark, sf_dir).rename_enum("o_orderpriority", "5-LOW", "5-LOWEST")
+    return renamed.node("orders").select("id", F.col("o_orderpriority").alias("priority"))
+
+
+@_query(f"SELECT id, name FROM ({_NODES}) UNION ALL SELECT 'part_' || p_partkey, 'part' FROM part")
+def append_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nodeloom.operators.graph import entity
+
+    parts = table(spark, sf_dir, "part").select(*entity(star.node_id("part", "p_partkey"), "part", ["p_name", "p_brand"]))
+    return star.graph(spark, sf_dir).append(parts).entities.select("id", "name")
+
+
+@_query("SELECT 'orders' AS name, '' AS o_orderstatus, 0 AS o_totalprice, '1-URGENT' AS o_orderpriority")
+def make_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blank = star.catalog().blank("orders")
+    return spark.createDataFrame([(blank["name"], *blank["object"].values())], "name string, o_orderstatus string, o_totalprice int, o_orderpriority string")
+
+
+# -- exports --------------------------------------------------------------------------------------
+
+
+@_query("""SELECT 'customer' AS type, c_name, c_acctbal::VARCHAR AS c_acctbal, c_mktsegment, 'nation_' || c_nationkey AS nations_id, CASE WHEN c_nationkey IS NULL THEN NULL WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'null' END AS nations_submitter_id, 'customer_' || c_custkey AS id
+FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""")
+def tsv_export_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = export.tsv_table(star.graph(spark, sf_dir), "customer")
+    return rows.toDF(*[c.replace(".", "_") for c in rows.columns])
+
+
+@_query("SELECT 'supplier_' || s_suppkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'null' END AS parent FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey")
+def tsv_parent_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = export.tsv_table(star.graph(spark, sf_dir), "supplier")
+    return rows.select("id", F.col("`nations.submitter_id`").alias("parent"))
+
+
+@_query("SELECT 'customer' AS label, sha256('customer:customer_' || c_custkey) AS id, c_name, c_acctbal::VARCHAR AS c_acctbal, c_mktsegment FROM customer")
+def gremlin_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.gremlin_vertices(star.graph(spark, sf_dir), "customer").toDF("label", "id", "c_name", "c_acctbal", "c_mktsegment")
+
+
+@_query(f"""SELECT sha256(f || t || '0') AS id, f AS "from", t AS "to", dst_name AS label
+FROM (SELECT sha256(src_name || ':' || src_id) AS f, sha256(dst_name || ':' || dst_id) AS t, dst_name FROM ({_EDGES}) e WHERE EXISTS (SELECT 1 FROM ({_NODES}) n WHERE n.id = e.dst_id AND n.name = e.dst_name))""")
+def gremlin_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.gremlin_edges(star.edges(spark, sf_dir), star.nodes(spark, sf_dir)).toDF("id", "from", "to", "label")
+
+
+@_query("SELECT * FROM (VALUES (0, '~label'), (1, '~id'), (2, 'o_orderstatus:String'), (3, 'o_totalprice:Double'), (4, 'o_orderpriority:String')) t(position, name)")
+def gremlin_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(export.gremlin_header(star.catalog(), "orders"))), "position int, name string")
+
+
+@_query("SELECT 'event_' || event_id AS src_id, 'user_' || user_id AS dst_id FROM events WHERE user_id IS NULL OR user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey <= 100)")
+def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(star.node_id("event", "event_id").alias("src_id"), F.lit("event").alias("src_name"), star.node_id("user", "user_id").alias("dst_id"), F.lit("user").alias("dst_name"))
+    users = table(spark, sf_dir, "customer").filter("c_custkey <= 100").select(star.node_id("user", "c_custkey").alias("id"), F.lit("user").alias("name"))
+    return export.dangling_edges(events, users).select("src_id", "dst_id")
+
+
+@_query("SELECT 'nation_' || n_nationkey AS src_id, '{\"region\":\"region_' || n_regionkey || '\",\"nation\":\"nation_' || n_nationkey || '\"}' AS document FROM nation WHERE n_regionkey IS NOT NULL")
+def spanning_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = star.edges(spark, sf_dir).filter("src_name = 'nation'")
+    docs = spanning.documents(spanning.spanning_table(edges, "region", {("region", "nation")}))
+    return docs.select(F.get_json_object("document", "$.nation").alias("src_id"), "document")
