@@ -23,7 +23,7 @@ from nodeloom.sources.catalog import MULTIPLICITY, Catalog
 BLOCK_RECORDS = 500
 
 
-def _record(name: str, **fields) -> dict:
+def _record(name: str, /, **fields) -> dict:
     return {"type": "record", "name": name, "fields": [{"name": k, "type": v} for k, v in fields.items()]}
 
 
