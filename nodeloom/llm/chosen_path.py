@@ -32,8 +32,8 @@ from nodeloom.llm.common import Scratch, mix, ragged, slice_hashes, stored, text
 from nodeloom.llm.components import components
 
 TREES, DEPTH = 16, 6
-#: Nodes and confirmed blocks up to so many documents are compared exhaustively.
-NODE = 200
+#: Nodes up to so many classes are compared exhaustively, on sketches; blocks up to so many on full sets.
+NODE, BLOCK = 1000, 200
 BINS = 128
 _NULL = np.iinfo(np.int64).max
 _SALTS = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
@@ -111,30 +111,35 @@ def features(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, "doc long, n long, cls long, sketch binary, mins binary")
 
 
-def _children(rows: DataFrame, level: int, threshold: float) -> DataFrame:
-    """From cls, mins (and, below the top, node and tree): node, tree, cls of the next level."""
+def _branch(node: np.ndarray, tree: np.ndarray, cls: np.ndarray, mins: np.ndarray, row: np.ndarray, level: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The children's node, tree and class: one for the level's token, in some nodes a second."""
     extra = int((1 / threshold - 1) * 1000)
+    node, mins = node.astype(np.int64).view(np.uint64), mins.astype(np.uint64)
+    # Levels beyond DEPTH take the functions of other trees, which this path hasn't used.
+    own, second = (tree + level // DEPTH) % TREES, (tree + TREES // 2 + level // DEPTH) % TREES
+    one = mix(node ^ mix(mins[row, own, level % DEPTH] + np.uint64(1 << 40)))
+    more = np.flatnonzero(mix(node + np.uint64(5)) % np.uint64(1000) < extra)
+    other = mix(node[more] ^ mix(mins[row[more], second[more], level % DEPTH] + np.uint64(1 << 41)))
+    return np.concatenate([one, other]).view(np.int64), np.concatenate([tree, tree[more]]), np.concatenate([cls, cls[more]])
+
+
+def _top(reps: DataFrame, threshold: float) -> DataFrame:
+    """node, tree, cls: each class below the roots of all trees."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            cls = np.array(batch.column("cls").to_numpy(zero_copy_only=False))
-            if not len(cls):
+            n = batch.num_rows
+            if not n:
                 continue
-            mins = np.frombuffer(b"".join(batch.column("mins").to_pylist()), np.uint32).reshape(-1, TREES, DEPTH).astype(np.uint64)
-            if level == 0:
-                cls, tree = np.repeat(cls, TREES), np.tile(np.arange(TREES), len(cls))
-                node, row = mix(tree.astype(np.uint64) + np.uint64(77)), np.repeat(np.arange(len(mins)), TREES)
-            else:
-                node, tree, row = batch.column("node").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), batch.column("tree").to_numpy(zero_copy_only=False), np.arange(len(cls))
-            one = mix(node ^ mix(mins[row, tree, level] + np.uint64(1 << 40)))
-            more = np.flatnonzero(mix(node + np.uint64(5)) % np.uint64(1000) < extra)
-            other = mix(node[more] ^ mix(mins[row[more], (tree[more] + 1 + level) % TREES, (level + 1) % DEPTH] + np.uint64(1 << 41)))
-            out = [np.concatenate([one, other]).view(np.int64), np.concatenate([tree, tree[more]]).astype(np.int32), np.concatenate([cls, cls[more]])]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["node", "tree", "cls"])
+            mins = np.frombuffer(b"".join(batch.column("mins").to_pylist()), np.uint32).reshape(-1, TREES, DEPTH)
+            tree = np.tile(np.arange(TREES), n)
+            root = mix(tree.astype(np.uint64) + np.uint64(77)).view(np.int64)
+            node, tree, cls = _branch(root, tree, np.repeat(batch.column("cls").to_numpy(zero_copy_only=False), TREES), mins, np.repeat(np.arange(n), TREES), 0, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(tree.astype(np.int32)), pa.array(cls)], ["node", "tree", "cls"])
 
-    return rows.mapInArrow(run, "node long, tree int, cls long")
+    return reps.select("cls", "mins").mapInArrow(run, "node long, tree int, cls long")
 
 
 def _in_groups(df: DataFrame, by: str, names: list[str], work, schema: str) -> DataFrame:
@@ -173,14 +178,17 @@ def _exhaustive(threshold: float):
             return []
         classes = [g[0] for g in group]
         s = np.frombuffer(b"".join(g[1] for g in group), np.uint8).reshape(-1, BINS)
-        got, least = _alike(s[:, None], s[None], threshold)
-        return [(classes[i], classes[j]) for i, j in _stars(got >= least)]
+        near = np.empty((len(s), len(s)), bool)
+        for at in range(0, len(s), 32):
+            got, least = _alike(s[at : at + 32, None], s[None], threshold)
+            near[at : at + 32] = got >= least
+        return [(classes[i], classes[j]) for i, j in _stars(near)]
 
     return work
 
 
-def _peel(rows: DataFrame, threshold: float) -> DataFrame:
-    """node, tree, cls, sketch, pivot, pivot_sketch -> those with near (linked to the pivot for sure or perhaps) and stays (may link to others)."""
+def _peel(rows: DataFrame, level: int, threshold: float) -> DataFrame:
+    """From node, tree, cls, sketch, mins, pivot, pivot_sketch: rows with a null pivot are the next level's (node, tree, cls), the others links (cls, pivot)."""
 
     def run(batches):
         import pyarrow as pa
@@ -189,22 +197,30 @@ def _peel(rows: DataFrame, threshold: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sketch", "pivot_sketch"))
+            node, tree, cls, pivot = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "tree", "cls", "pivot"))
             got, _ = _alike(a, b, threshold)
-            n = np.maximum(((a > 0) | (b > 0)).sum(-1), 1)
-            slack = 2.5 * np.sqrt(0.25 / n)
+            slack = 2.5 * np.sqrt(0.25 / np.maximum(((a > 0) | (b > 0)).sum(-1), 1))
             far = 1 - threshold  # the distance of a link
-            # inner: similarity above which all partners are near the pivot, too.
-            near, stays = got >= 1 - 3 * far - slack, got < 1 - 2 * far + slack
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "tree", "cls", "pivot")] + [pa.array(near), pa.array(stays)], ["node", "tree", "cls", "pivot", "near", "stays"])
-
-    return rows.select("node", "tree", "cls", "sketch", "pivot", "pivot_sketch").mapInArrow(run, "node long, tree int, cls long, pivot long, near boolean, stays boolean")
+            # Whoever is more alike than 1 - 2 far can only link to what is more alike than 1 - 3 far.
+            near = np.flatnonzero((got >= 1 - 3 * far - slack) & (cls != pivot))
+            stays = np.flatnonzero((got < 1 - 2 * far + slack) & (cls != pivot))
+            if level < TREES // 2 * DEPTH:
+                mins = np.frombuffer(b"".join(batch.column("mins").take(pa.array(stays)).to_pylist()), np.uint32).reshape(-1, TREES, DEPTH)
+                down = _branch(node[stays], tree[stays], cls[stays], mins, np.arange(len(stays)), level, threshold)
+            else:  # no function is left: the node goes on without the pivot's surroundings until it is small
+                down = node[stays], tree[stays], cls[stays]
+            none = np.zeros(len(near), np.int64)
+            columns = [np.concatenate([x.astype(np.int64), y]) for x, y in zip(down, (none, none, cls[near]), strict=True)]
+            links = pa.array(np.concatenate([np.zeros(len(down[2]), np.int64), pivot[near]]), mask=np.arange(len(columns[2])) < len(down[2]))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1].astype(np.int32)), pa.array(columns[2]), links], ["node", "tree", "cls", "pivot"])
+
+    return rows.select("node", "tree", "cls", "sketch", "mins", "pivot", "pivot_sketch").mapInArrow(run, "node long, tree int, cls long, pivot long")
 
 
 def loose_links(reps: DataFrame, threshold: float) -> DataFrame:
     """u, v: links on sketches between classes that met in a node of a tree."""
-    sketches, found = reps.select("cls", "sketch"), []
-    rows = stored(_children(reps.select("cls", "mins"), 0, threshold), "nodes")
-    level = 0
+    sketches, found, level = reps.select("cls", "sketch"), [], 0
+    rows = stored(_top(reps, threshold), "nodes")
     while True:
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min_by("cls", F.xxhash64("cls", "node")).alias("pivot")).filter("size > 1")
         sized = stored(rows.join(sizes, "node"), "nodes")
@@ -213,15 +229,12 @@ def loose_links(reps: DataFrame, threshold: float) -> DataFrame:
         large = sized.filter(F.col("size") > NODE)
         if large.isEmpty():
             break
-        pivots = large.select("node", "pivot").distinct().join(sketches.withColumnRenamed("sketch", "pivot_sketch").withColumnRenamed("cls", "pivot"), "pivot")
-        peeled = stored(_peel(large.select("node", "tree", "cls").join(pivots, "node").join(sketches, "cls"), threshold), "peeled")
-        found.append(peeled.filter("near").select(F.col("pivot").alias("u"), F.col("cls").alias("v")))
-        rest = peeled.filter("stays and cls != pivot").select("node", "tree", "cls")
         level += 1
-        if level < DEPTH:
-            rows = stored(_children(rest.join(reps.select("cls", "mins"), "cls").select("node", "tree", "cls", "mins"), level, threshold), "nodes")
-        else:
-            rows = rest  # at the greatest depth, nodes lose a pivot's surroundings each time until they are small
+        pivots = large.select("node", "pivot").distinct().join(sketches.select(F.col("cls").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
+        full = large.select("node", "tree", "cls").join(pivots, "node").join(reps.select("cls", "sketch", "mins"), "cls")
+        peeled = stored(_peel(full, level, threshold), "peeled")
+        found.append(peeled.filter("pivot is not null").select(F.col("pivot").alias("u"), F.col("cls").alias("v")))
+        rows = peeled.filter("pivot is null").select("node", "tree", "cls")
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
@@ -283,8 +296,8 @@ def links(docs: DataFrame, reps: DataFrame, width: int, at_least: int, id_col: s
     members = stored(members.join(texts, "doc").drop("doc"), "members")
     names = ["cls", "role", "text"]
     confirm = lambda df: stored(_in_groups(df, "unit", names, _confirm(width, at_least), "u long, v long"), "confirmed")
-    found = confirm(members.filter(F.col("size") <= NODE).select(F.xxhash64("comp").alias("unit"), "cls", F.lit(MEMBER).alias("role"), "text"))
-    large = members.filter(F.col("size") > NODE)
+    found = confirm(members.filter(F.col("size") <= BLOCK).select(F.xxhash64("comp").alias("unit"), "cls", F.lit(MEMBER).alias("role"), "text"))
+    large = members.filter(F.col("size") > BLOCK)
     if large.isEmpty():
         return found
     # The center has, in most bins, the byte that most of its component have.
@@ -296,7 +309,7 @@ def links(docs: DataFrame, reps: DataFrame, width: int, at_least: int, id_col: s
     centers = stored(scores.groupBy("comp").agg(F.max_by("cls", F.struct("score", "cls")).alias("center")), "centers")
     centered = large.join(centers, "comp")
     part = lambda salt, n: F.pmod(F.xxhash64("cls", F.lit(salt)), n).cast("int")
-    blocks = F.ceil(F.col("size") / NODE).cast("int")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     around = centered.filter("cls != center").select("comp", part(1, blocks).alias("b"), "cls", F.lit(MEMBER).alias("role"), "text")
     middle = centered.filter("cls = center").select("comp", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("b"), "cls", F.lit(CENTER).alias("role"), "text")
     star = confirm(around.union(middle).select(F.xxhash64("comp", "b").alias("unit"), *names))
@@ -305,7 +318,7 @@ def links(docs: DataFrame, reps: DataFrame, width: int, at_least: int, id_col: s
     state = stored(centered.join(linked, "cls", "left").select("comp", "cls", "text", "size", F.coalesce(role, F.lit(STRAY)).alias("role")), "state")
     strays = state.filter(F.col("role") == STRAY).groupBy("comp").agg(F.count(F.lit(1)).alias("strays"))
     both = state.join(strays, "comp")
-    rows = F.ceil(F.col("strays") / NODE).cast("int")
+    rows = F.ceil(F.col("strays") / BLOCK).cast("int")
     # Every block of strays meets every block of the component.
     asked = both.filter(F.col("role") == STRAY).select("comp", part(2, rows).alias("a"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("b"), *names[:1], "role", "text")
     others = both.select("comp", F.explode(F.sequence(F.lit(0), rows - 1)).alias("a"), part(3, blocks).alias("b"), "cls", F.when(F.col("role") == STRAY, MEMBER).otherwise(F.col("role")).alias("role"), "text")

@@ -67,8 +67,9 @@ def test_equals_brute_force(docs):
 
 @pytest.mark.parametrize("seed", [2, 3])
 def test_large_nodes_and_components(docs, monkeypatch, seed):
-    """Nodes and blocks of three: branching, peeling, centers and strays all take part."""
+    """Nodes and blocks of three at most: branching, peeling, centers and strays all take part."""
     monkeypatch.setattr(C, "NODE", 3)
+    monkeypatch.setattr(C, "BLOCK", 3)
     check(docs, made(seed), 5, 80)
 
 
