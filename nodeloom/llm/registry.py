@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeloom.llm import bpe, centroids, chosen_path, hash_tree, quality, secrets, separators, substrings, templates, tool_calls
+from nodeloom.llm import bpe, centroids, chosen_path, hash_tree, oracles, quality, secrets, separators, substrings, templates, tool_calls
 from nodeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_chosen_path": oracles.near_duplicates(3, 85), "op5_quality_rules": oracles.quality(), "op9_substring_dedup": oracles.substrings()}
 
 
 def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
