@@ -28,13 +28,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import Scratch, mix, ragged, slice_hashes, stored, texts_in, window_hashes, words_of
+from nodeloom.llm.common import Scratch, mix, ragged, slice_hashes, stored, task_count, texts_in, window_hashes, words_of
 from nodeloom.llm.components import components
 
 TREES, DEPTH = 16, 6
 #: Nodes up to so many classes are compared exhaustively, on sketches; blocks up to so many on full sets.
 NODE, BLOCK = 1000, 200
 BINS = 128
+#: Rows of nodes, of classes with their sketches, and of texts for each task.
+TASK_ROWS, TASK_CLASSES, TASK_TEXTS = 100_000, 20_000, 2_000
 _NULL = np.iinfo(np.int64).max
 _SALTS = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -142,7 +144,7 @@ def _top(reps: DataFrame, threshold: float) -> DataFrame:
     return reps.select("cls", "mins").mapInArrow(run, "node long, tree int, cls long")
 
 
-def _in_groups(df: DataFrame, by: str, names: list[str], work, schema: str) -> DataFrame:
+def _in_groups(df: DataFrame, by: str, names: list[str], work, schema: str, parts: int | None = None) -> DataFrame:
     """Rows dealt and sorted by a column; work gets the columns of one group after another, as lists, and yields tuples."""
     fields = [x.split()[0] for x in schema.split(", ")]
 
@@ -169,7 +171,8 @@ def _in_groups(df: DataFrame, by: str, names: list[str], work, schema: str) -> D
         if out:
             yield put(out)
 
-    return df.select(by, *names).repartition(by).sortWithinPartitions(by).mapInArrow(run, schema)
+    dealt = df.select(by, *names).repartition(by)
+    return (dealt.coalesce(parts) if parts else dealt).sortWithinPartitions(by).mapInArrow(run, schema)
 
 
 def _exhaustive(threshold: float):
@@ -222,17 +225,18 @@ def loose_links(reps: DataFrame, threshold: float) -> DataFrame:
     sketches, found, level = reps.select("cls", "sketch"), [], 0
     rows = stored(_top(reps, threshold), "nodes")
     while True:
+        parts = task_count(rows.sparkSession, rows.count(), TASK_ROWS)  # deeper levels have few rows: no task for every shuffle partition
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min_by("cls", F.xxhash64("cls", "node")).alias("pivot")).filter("size > 1")
-        sized = stored(rows.join(sizes, "node"), "nodes")
+        sized = stored(rows.join(sizes, "node").coalesce(parts), "nodes")
         small = sized.filter(F.col("size") <= NODE).select("node", "cls").join(sketches, "cls")
-        found.append(stored(_in_groups(small, "node", ["cls", "sketch"], _exhaustive(threshold), "u long, v long"), "loose"))
+        found.append(stored(_in_groups(small, "node", ["cls", "sketch"], _exhaustive(threshold), "u long, v long", parts), "loose"))
         large = sized.filter(F.col("size") > NODE)
         if large.isEmpty():
             break
         level += 1
         pivots = large.select("node", "pivot").distinct().join(sketches.select(F.col("cls").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
         full = large.select("node", "tree", "cls").join(pivots, "node").join(reps.select("cls", "sketch", "mins"), "cls")
-        peeled = stored(_peel(full, level, threshold), "peeled")
+        peeled = stored(_peel(full.coalesce(parts), level, threshold), "peeled")
         found.append(peeled.filter("pivot is not null").select(F.col("pivot").alias("u"), F.col("cls").alias("v")))
         rows = peeled.filter("pivot is null").select("node", "tree", "cls")
     out = found[0]
@@ -295,7 +299,8 @@ def links(docs: DataFrame, reps: DataFrame, width: int, at_least: int, id_col: s
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("doc"), F.col(text_col).alias("text"))
     members = stored(members.join(texts, "doc").drop("doc"), "members")
     names = ["cls", "role", "text"]
-    confirm = lambda df: stored(_in_groups(df, "unit", names, _confirm(width, at_least), "u long, v long"), "confirmed")
+    parts = task_count(docs.sparkSession, members.count(), TASK_TEXTS)
+    confirm = lambda df: stored(_in_groups(df, "unit", names, _confirm(width, at_least), "u long, v long", parts), "confirmed")
     found = confirm(members.filter(F.col("size") <= BLOCK).select(F.xxhash64("comp").alias("unit"), "cls", F.lit(MEMBER).alias("role"), "text"))
     large = members.filter(F.col("size") > BLOCK)
     if large.isEmpty():
@@ -331,7 +336,7 @@ def grouped(docs: DataFrame, width: int = 5, at_least: int = 80, id_col: str = "
     with Scratch(spark) as scratch:
         full = stored(features(docs, width, id_col, text_col).withColumns({"id": F.col("doc"), "doc": F.coalesce("doc", F.lit(_NULL))}), "features")
         first = stored(full.filter("n > 0").groupBy("cls").agg(F.min("doc").alias("doc")), "classes")
-        reps = stored(full.filter("n > 0").select("cls", "doc", "sketch", "mins").join(first, ["cls", "doc"]).dropDuplicates(["cls"]), "reps")
+        reps = stored(full.filter("n > 0").select("cls", "doc", "sketch", "mins").join(first, ["cls", "doc"]).dropDuplicates(["cls"]).coalesce(task_count(spark, first.count(), TASK_CLASSES)), "reps")
         rows = stored(full.select("id", "doc", "n", "cls"), "rows")
         scratch.drop(full)
         joined = components(links(docs, reps, width, at_least, id_col, text_col))

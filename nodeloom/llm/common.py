@@ -81,6 +81,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def task_count(spark: SparkSession, rows: int, rows_each: int) -> int:
+    """How many tasks a table of so many rows is worth; at least two for every core."""
+    return 2 * spark.sparkContext.defaultParallelism + rows // rows_each
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = x ^ (x >> np.uint64(30))

@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import Scratch, stored
+from nodeloom.llm.common import Scratch, stored, task_count
+
+#: Links for each task.
+ROWS = 200_000
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -27,7 +30,8 @@ def _small(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """From links (u, v) of longs: u, v, where v is the least member of u's component; least members have no row."""
-    with Scratch(edges.sparkSession) as scratch:
+    spark = edges.sparkSession
+    with Scratch(spark) as scratch:
         edges = stored(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
         state = None
         while True:
@@ -36,5 +40,5 @@ def components(edges: DataFrame) -> DataFrame:
                 scratch.keep(edges)
                 return edges
             state, before = sums, edges
-            edges = stored(_small(_large(edges)), "links")
+            edges = stored(_small(_large(edges)).coalesce(task_count(spark, sums[0], ROWS)), "links")
             scratch.drop(before)
