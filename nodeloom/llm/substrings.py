@@ -14,9 +14,11 @@ Of a 64-bit hash the bucket gives the top bits and ``digest_bytes`` the low ones
 n windows about n^2 / 2^65 pairs with all bits (0.002 expected in 0.5 GB, 2 in 30 GB).
 
 Defined cases: a null, empty or short text has no window and keeps its words; texts of any length
-are hashed whole; a null id comes last; rows of one id are taken as the same document given again:
-what is removed is removed from each of them, and none counts as earlier than another; an empty
-table gives an empty one; only the two named columns are read.
+are hashed whole; rows of one id and one text are taken as the same document given again: what is
+removed is removed from each of them, and none counts as earlier than another; different texts of one
+id are documents of their own, in the order of a 63-bit digest of the text (the ``tie``); null ids come
+last, in the order of that digest, and each is a document of its own, so of equal texts one stays; an
+empty table gives an empty one; only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import hashlib
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodeloom.llm.bpe import groups
@@ -36,6 +38,8 @@ GROUP_BYTES = 4_000_000
 #: Bytes of input for each bucket of hash space: the larger, the fewer rows; the entries of one bucket are sorted in memory.
 BUCKET_BYTES = 8_000_000
 _LAST = np.iinfo(np.int64).max
+#: Ids with several texts are told to all tasks by their hash, of at most so many values.
+SLOTS = 1 << 17
 
 
 def buckets_for(docs: DataFrame) -> int:
@@ -71,51 +75,74 @@ def _later(hashes: np.ndarray) -> np.ndarray:
     return same
 
 
-def _by_part(ids: np.ndarray, starts: np.ndarray, parts: int) -> list[tuple[int, bytes, bytes]]:
-    """(part of the id space, ids with how many starts each has, starts), one for each part."""
-    part = ids % parts
-    order = np.lexsort((starts, ids, part))
-    part, ids, starts = part[order], ids[order], starts[order]
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """key (for a null id the largest long), tie, id, text. tie: 0 where all texts of the id are equal, so that it costs no bytes; else
+    a digest of the text, below 0 for ids and above for nulls. Ids whose hash is that of an id with several texts may have a digest as well."""
+    digest = F.greatest(F.lit(1).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(F.lit(_LAST)))
+    own = F.col(id_col).cast("long")
+    several = docs.filter(own.isNotNull()).groupBy(own.alias("_key")).agg(F.min(digest).alias("_a"), F.max(digest).alias("_b")).filter("_a < _b")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    several = several.select(slot(F.col("_key")).alias("_slot")).distinct().withColumn("_several", F.lit(True))
+    rows = docs.select(own.alias("_own"), digest.alias("_digest"), slot(own).alias("_at"), F.col(id_col).alias(id_col), F.col(text_col).alias(text_col))
+    tie = F.when(F.col("_own").isNull(), F.col("_digest")).when(F.col("_several"), -F.col("_digest")).otherwise(F.lit(0))
+    rows = rows.join(F.broadcast(several), F.col("_at") == F.col("_slot"), "left")
+    return rows.select(F.coalesce("_own", F.lit(_LAST)).alias("_key"), tie.cast("long").alias("_tie"), id_col, text_col)
+
+
+def _changes(ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """Where another text begins than that of the entry before."""
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1])
+    return new
+
+
+def _by_part(ids: np.ndarray, ties: np.ndarray, starts: np.ndarray, parts: int) -> list[tuple[int, bytes, bytes]]:
+    """(part of the id space, ids and ties with how many starts each has, starts), one for each part."""
+    part = (ids ^ ties) % parts
+    order = np.lexsort((starts, ties, ids, part))
+    part, ids, ties, starts = part[order], ids[order], ties[order], starts[order]
     out, edges = [], np.flatnonzero(np.diff(part, prepend=-1, append=-1))
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        heads = np.flatnonzero(np.diff(ids[a:b], prepend=ids[a] - 1)) + a
-        table = np.stack([ids[heads], np.diff(np.append(heads, b))]).astype("<i8")
+        heads = np.flatnonzero(_changes(ids[a:b], ties[a:b])) + a
+        table = np.stack([ids[heads], ties[heads], np.diff(np.append(heads, b))]).astype("<i8")
         out.append((int(part[a]), zlib.compress(table.tobytes(), 1), starts[a:b].astype("<u4").tobytes()))
     return out
 
 
-def _pack(hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray, digest_bytes: int) -> tuple[bytes, bytes, bytes, bytes]:
-    """Digests; the ids (as gaps) with how many entries each has; the gaps between starts (one byte, 255: see the wide ones); wide gaps."""
-    new = np.ones(len(ids), bool)
-    new[1:] = ids[1:] != ids[:-1]
+def _pack(hashes: np.ndarray, ids: np.ndarray, ties: np.ndarray, starts: np.ndarray, digest_bytes: int) -> tuple[bytes, bytes, bytes, bytes]:
+    """Digests; the ids (as gaps) and ties with how many entries each has; the gaps between starts (one byte, 255: see the wide ones); wide gaps."""
+    new = _changes(ids, ties)
     gaps = np.diff(starts, prepend=0)
     gaps[new] = starts[new]
     wide = gaps >= 255
     heads = np.flatnonzero(new)
-    table = np.stack([np.diff(ids[heads], prepend=0), np.diff(np.append(heads, len(ids)))]).astype("<i8")
+    table = np.stack([np.diff(ids[heads], prepend=0), ties[heads], np.diff(np.append(heads, len(ids)))]).astype("<i8")
     digests = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - digest_bytes :]
     return digests.tobytes(), zlib.compress(table.tobytes(), 1), np.where(wide, 255, gaps).astype(np.uint8).tobytes(), gaps[wide].astype("<u4").tobytes()
 
 
-def _unpack(digests: bytes, table: bytes, gaps: bytes, wide: bytes, digest_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(digests: bytes, table: bytes, gaps: bytes, wide: bytes, digest_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(gaps)
     full = np.zeros((n, 8), np.uint8)
     full[:, 8 - digest_bytes :] = np.frombuffer(digests, np.uint8).reshape(n, digest_bytes)
-    ids, counts = np.frombuffer(zlib.decompress(table), "<i8").reshape(2, -1)
+    ids, ties, counts = np.frombuffer(zlib.decompress(table), "<i8").reshape(3, -1)
     ids = np.cumsum(ids)
     steps = np.frombuffer(gaps, np.uint8).astype(np.int64)
     steps[steps == 255] = np.frombuffer(wide, "<u4")
     sums = np.cumsum(steps)
     heads = np.cumsum(counts) - counts
-    return full.view(">u8").reshape(n).astype(np.uint64), np.repeat(ids, counts), sums - np.repeat(sums[heads] - steps[heads], counts)
+    return full.view(">u8").reshape(n).astype(np.uint64), np.repeat(ids, counts), np.repeat(ties, counts), sums - np.repeat(sums[heads] - steps[heads], counts)
 
 
 _PACKED = "bucket int, grp long, digests binary, ids binary, gaps binary, wide binary"
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, digest_bytes: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key (the id; for null the largest long), spans binary (pairs of unsigned 32-bit): the maximal intervals of words in windows that also start earlier; one row for each text that has any."""
-    buckets = buckets or buckets_for(docs)
+    """key (the id; for null the largest long), tie (see ``_keyed``), spans binary (pairs of unsigned 32-bit): the maximal intervals of words in windows that also start earlier; one row for each text that has any."""
+    return _repeats(_keyed(docs, id_col, text_col), width, buckets or buckets_for(docs), digest_bytes, text_col)
+
+
+def _repeats(keyed: DataFrame, width: int, buckets: int, digest_bytes: int, text_col: str) -> DataFrame:
     shift = np.uint64(64 - (buckets - 1).bit_length())
 
     def hashed(batches):
@@ -124,26 +151,26 @@ def repeats(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, dig
 
         grp = TaskContext.get().partitionId() << 32
         for batch in batches:
-            all_ids = [_LAST if x is None else x for x in batch.column(id_col).to_pylist()]
-            order = sorted(range(len(all_ids)), key=all_ids.__getitem__)
-            texts = texts_in(batch, text_col)
-            order = [i for k, i in enumerate(order) if not k or (all_ids[i], texts[i]) != (all_ids[order[k - 1]], texts[order[k - 1]])]
-            texts, ids = [texts[i] for i in order], [all_ids[i] for i in order]
+            keys, ties = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_key", "_tie"))
+            order = np.lexsort((ties, keys))
+            order = order[_changes(keys[order], ties[order])]
+            texts, keys, ties = texts_in(batch, text_col), keys[order], ties[order]
+            texts = [texts[i] for i in order.tolist()]
             for a, b in groups(texts, GROUP_BYTES):
                 hashes, text, starts = _windows(texts[a:b], width)
-                own = np.array(ids[a:b], np.int64)
+                own, tie = keys[a:b], ties[a:b]
                 later = _later(hashes)
                 out: list[tuple] = []
                 settled = np.flatnonzero(later)
                 if len(settled):
-                    out = [(k, -1, b"", table, b"", wide) for k, table, wide in _by_part(own[text[settled]], starts[settled], buckets)]
+                    out = [(k, -1, b"", table, b"", wide) for k, table, wide in _by_part(own[text[settled]], tie[text[settled]], starts[settled], buckets)]
                 firsts = np.flatnonzero(~later)
                 bucket = (hashes[firsts] >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(firsts), np.int64)
                 by = np.argsort(bucket, kind="stable")
                 edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
                 for k in np.flatnonzero(np.diff(edges)).tolist():
                     at = firsts[by[edges[k] : edges[k + 1]]]
-                    out.append((k, grp, *_pack(hashes[at], own[text[at]], starts[at], digest_bytes)))
+                    out.append((k, grp, *_pack(hashes[at], own[text[at]], tie[text[at]], starts[at], digest_bytes)))
                 grp += 1
                 if out:
                     columns = list(zip(*out, strict=True))
@@ -161,7 +188,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, dig
             if not parts:
                 return
             parts = sorted(parts, key=lambda p: p[0])
-            hashes, ids, starts = (np.concatenate(x) for x in zip(*[p[1] for p in parts], strict=True))
+            hashes, ids, ties, starts = (np.concatenate(x) for x in zip(*[p[1] for p in parts], strict=True))
             order = np.argsort(hashes, kind="stable")
             run = hashes[order]
             again = np.zeros(len(run), bool)
@@ -171,13 +198,13 @@ def repeats(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, dig
             at = order[inside]  # entries of hashes that more than one group has
             if not len(at):
                 return
-            at = at[np.lexsort((starts[at], ids[at], hashes[at]))]
+            at = at[np.lexsort((starts[at], ties[at], ids[at], hashes[at]))]
             first = np.ones(len(at), bool)
             first[1:] = hashes[at[1:]] != hashes[at[:-1]]
             head = at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
-            at = at[(ids[at] != ids[head]) | (starts[at] != starts[head])]
+            at = at[(ids[at] != ids[head]) | (ties[at] != ties[head]) | (starts[at] != starts[head])]
             if len(at):
-                yield put(_by_part(ids[at], starts[at], buckets))
+                yield put(_by_part(ids[at], ties[at], starts[at], buckets))
 
         bucket, parts, passed = None, [], []
         for batch in batches:
@@ -200,19 +227,19 @@ def repeats(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, dig
         def merged(parts):
             if not parts:
                 return
-            tables = [np.frombuffer(zlib.decompress(x), "<i8").reshape(2, -1) for x, _ in parts]
-            ids = np.concatenate([np.repeat(*t) for t in tables])
+            tables = [np.frombuffer(zlib.decompress(x), "<i8").reshape(3, -1) for x, _ in parts]
+            ids, ties = (np.concatenate([np.repeat(t[k], t[2]) for t in tables]) for k in (0, 1))
             starts = np.concatenate([np.frombuffer(x, "<u4") for _, x in parts]).astype(np.int64)
-            order = np.lexsort((starts, ids))
-            ids, starts = ids[order], starts[order]
-            new = np.ones(len(ids), bool)  # the first window of a maximal interval
-            new[1:] = (ids[1:] != ids[:-1]) | (starts[1:] > starts[:-1] + width)
+            order = np.lexsort((starts, ties, ids))
+            ids, ties, starts = ids[order], ties[order], starts[order]
+            new = _changes(ids, ties)  # the first window of a maximal interval
+            new[1:] |= (starts[1:] > starts[:-1] + width)
             first = np.flatnonzero(new)
             spans = np.stack([starts[first], starts[np.append(first[1:], len(ids)) - 1] + width], 1).astype("<u4")
-            owners = ids[first]
-            cuts = np.flatnonzero(np.diff(owners)) + 1
+            owners, ties = ids[first], ties[first]
+            cuts = np.flatnonzero(_changes(owners, ties)[1:]) + 1
             blobs = [x.tobytes() for x in np.split(spans, cuts)]
-            yield pa.RecordBatch.from_arrays([pa.array(owners[np.append(0, cuts)], pa.int64()), pa.array(blobs, pa.binary())], ["key", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(owners[np.append(0, cuts)], pa.int64()), pa.array(ties[np.append(0, cuts)], pa.int64()), pa.array(blobs, pa.binary())], ["key", "tie", "spans"])
 
         now, parts = None, []
         for batch in batches:
@@ -223,9 +250,9 @@ def repeats(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, dig
                 parts.append((table, starts))
         yield from merged(parts)
 
-    packed = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(hashed, _PACKED)
+    packed = keyed.select("_key", "_tie", text_col).mapInArrow(hashed, _PACKED)
     found = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(settled, "part int, ids binary, starts binary")
-    return found.repartition("part").sortWithinPartitions("part").mapInArrow(gathered, "key long, spans binary")
+    return found.repartition("part").sortWithinPartitions("part").mapInArrow(gathered, "key long, tie long, spans binary")
 
 
 def removed(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -240,19 +267,24 @@ def digests(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_co
 
 def _applied(docs: DataFrame, width: int, id_col: str, text_col: str, digest: bool, options: dict) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
-    found = repeats(docs, width, id_col=id_col, text_col=text_col, **options)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("key"), F.col(id_col).alias(id_col), F.col(text_col).alias(text_col))
-    both = rows.join(found, "key", "left").select(id_col, text_col, "spans")
+    keyed = _keyed(docs, id_col, text_col)
+    found = _repeats(keyed, width, options.get("buckets") or buckets_for(docs), options.get("digest_bytes", 7), text_col)
+    # The window deals and sorts rows as the join does. Which of equal rows is the first makes no difference.
+    copy = F.row_number().over(Window.partitionBy("_key", "_tie").orderBy("_key"))
+    rows = keyed.withColumn("_again", (F.col("_tie") > 0) & (copy > 1))
+    both = rows.join(found.toDF("_key", "_tie", "_spans"), ["_key", "_tie"], "left").select(id_col, text_col, "_again", "_spans")
 
     def apply(batches):
         import pyarrow as pa
 
         for batch in batches:
             n_words, n_removed, kept, intervals = [], [], [], []
-            for text, blob in zip(texts_in(batch, text_col), batch.column("spans").to_pylist(), strict=True):
+            for text, again, blob in zip(texts_in(batch, text_col), batch.column("_again").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
                 words = text.split()  # of bytes: at [\x20\x09-\x0D] only
                 n_words.append(len(words))
                 spans = np.frombuffer(blob or b"", "<u4").reshape(-1, 2).tolist()
+                if again:  # all of its windows are in its equal
+                    spans = [[0, len(words)]] if len(words) >= width else []
                 at, parts = 0, []
                 for a, b in spans:
                     parts += words[at:a]

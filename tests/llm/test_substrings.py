@@ -65,3 +65,47 @@ def test_repeated_rows_and_empty_table(docs):
     got = substrings.digests(docs([(1, text), (1, text), (2, text)]).repartition(3)).collect()
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (1, 0), (2, 50)]
     assert substrings.digests(docs([])).count() == 0
+
+
+def brute_rows(rows, width):
+    """(id, n_words, n_removed, kept) of every row; rows of one id and one text are one document, null ids are documents of their own."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", x or "") for _, x in rows]
+    tie = lambda k: (rows[k][0] is None, rows[k][0] or 0, DIGEST[rows[k][1] or ""] * (1 if rows[k][0] is None else -1))
+    seen, out, by_document = set(), [], {}
+    for k in sorted(range(len(rows)), key=tie):
+        w, document = words[k], k if rows[k][0] is None else rows[k]
+        if document not in by_document:
+            gone = by_document[document] = set()
+            for s in range(len(w) - width + 1):
+                window = tuple(w[s : s + width])
+                if window in seen:
+                    gone |= set(range(s, s + width))
+                seen.add(window)
+        gone = by_document[document]
+        out.append((rows[k][0], len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return sorted(out, key=str)
+
+
+DIGEST = {}
+
+
+def test_null_ids_and_ids_with_several_texts_equal_brute_force(docs):
+    last = 2**63 - 1
+    for seed, options, parts in ((1, {}, 1), (2, {"buckets": 1}, 5), (3, {"buckets": 256, "digest_bytes": 8}, 3)):
+        rng = random.Random(seed)
+        texts = [x for _, x in made(seed, 90)]
+        rows = [(rng.choice([None, None, i, i, i // 2, 7, last]), rng.choice([x, x, texts[0], texts[1]])) for i, x in enumerate(texts)]
+        rows += [(None, texts[2]), (None, texts[2]), (7, texts[2]), (8, texts[3]), (8, texts[4]), (8, texts[3]), (None, "short"), (None, "short"), (None, None), (None, ""), (last, texts[2])]
+        frame = docs(rows)
+        digest = F.greatest(F.lit(1), F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(last)))
+        DIGEST.update({r.text: r.d for r in frame.select(F.coalesce("text", F.lit("")).alias("text"), digest.alias("d")).collect()})
+        got = substrings.removed(frame.repartition(parts), **options).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute_rows(rows, 20)
+
+
+def test_packing_of_two_texts_under_one_id():
+    import numpy as np
+
+    ids, ties, starts = np.array([5, 5, 5, 5]), np.array([-9, -9, -3, -3]), np.array([10, 310, 5, 405])
+    packed = substrings._pack(np.arange(4, dtype=np.uint64), ids, ties, starts, 8)
+    assert [x.tolist() for x in substrings._unpack(*packed, 8)] == [[0, 1, 2, 3], ids.tolist(), ties.tolist(), starts.tolist()]
