@@ -1,7 +1,8 @@
 """The corpus pipeline: stages that each call one operator of nodeloom.llm and take effect on the documents.
 
 Each stage reads all that the one before kept. A null text is rejected by the first stage; an empty
-table stays empty; rows of one id count as one document.
+table stays empty. Near duplicates are judged by row: rows of one id, or of none, are one only if their
+texts are alike. Decontamination takes rows of one id as one document.
 """
 
 from __future__ import annotations

@@ -95,8 +95,12 @@ def _stars(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _digest(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def features(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc (the id), n, cls (the set's class), sketch, mins of every row."""
+    """doc (the id), digest (of the text, which tells rows of one id apart), n, cls (the set's class), sketch, mins of every row."""
 
     def run(batches):
         import pyarrow as pa
@@ -108,9 +112,9 @@ def features(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
                 rows.append((len(codes), class_of(codes), sketch(codes), minwise(codes)) if len(codes) else (0, None, None, None))
             columns = list(zip(*rows, strict=True)) or [()] * 4
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc", "n", "cls", "sketch", "mins"])
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_digest"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc", "digest", "n", "cls", "sketch", "mins"])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, "doc long, n long, cls long, sketch binary, mins binary")
+    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col, _digest(text_col).alias("_digest")).mapInArrow(run, "doc long, digest long, n long, cls long, sketch binary, mins binary")
 
 
 def _branch(node: np.ndarray, tree: np.ndarray, cls: np.ndarray, mins: np.ndarray, row: np.ndarray, level: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -291,13 +295,13 @@ def _confirm(width: int, at_least: int):
 
 
 def links(docs: DataFrame, reps: DataFrame, width: int, at_least: int, id_col: str, text_col: str) -> DataFrame:
-    """u, v: confirmed links between classes that join all that is linked. reps: cls, doc, sketch, mins."""
+    """u, v: confirmed links between classes that join all that is linked. reps: cls, doc, digest, sketch, mins."""
     loose = components(loose_links(reps, at_least / 100))
     members = loose.select(F.col("u").alias("cls"), F.col("v").alias("comp")).union(loose.select("v", "v").distinct())
     sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    members = members.join(sizes, "comp").join(reps.select("cls", "doc"), "cls")
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("doc"), F.col(text_col).alias("text"))
-    members = stored(members.join(texts, "doc").drop("doc"), "members")
+    members = members.join(sizes, "comp").join(reps.select("cls", "doc", "digest"), "cls")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("doc"), _digest(text_col).alias("digest"), F.col(text_col).alias("text"))
+    members = stored(members.join(texts, ["doc", "digest"]).drop("doc", "digest"), "members")
     names = ["cls", "role", "text"]
     parts = task_count(docs.sparkSession, members.count(), TASK_TEXTS)
     confirm = lambda df: stored(_in_groups(df, "unit", names, _confirm(width, at_least), "u long, v long", parts), "confirmed")
@@ -330,17 +334,22 @@ def links(docs: DataFrame, reps: DataFrame, width: int, at_least: int, id_col: s
     return found.union(star).union(confirm(asked.union(others).select(F.xxhash64("comp", "a", "b").alias("unit"), *names)))
 
 
+def _judged(docs: DataFrame, width: int, at_least: int, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """id, doc, n, cls of every row; cls, root (a number of its component), and doc and digest of the class's first row, which has the least of both."""
+    spark = docs.sparkSession
+    full = stored(features(docs, width, id_col, text_col).withColumns({"id": F.col("doc"), "doc": F.coalesce("doc", F.lit(_NULL))}), "features")
+    first = stored(full.filter("n > 0").groupBy("cls").agg(F.min(F.struct("doc", "digest")).alias("x")).select("cls", "x.doc", "x.digest"), "classes")
+    reps = stored(full.filter("n > 0").select("cls", "doc", "digest", "sketch", "mins").join(first, ["cls", "doc", "digest"]).dropDuplicates(["cls"]).coalesce(task_count(spark, first.count(), TASK_CLASSES)), "reps")
+    rows = stored(full.select("id", "doc", "n", "cls"), "rows")
+    scratch.drop(full)
+    joined = components(links(docs, reps, width, at_least, id_col, text_col))
+    return rows, first.join(joined.withColumnRenamed("u", "cls"), "cls", "left").select("cls", "doc", "digest", F.coalesce("v", "cls").alias("root"))
+
+
 def grouped(docs: DataFrame, width: int = 5, at_least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (the least id of those that links of at least ``at_least`` % reach), kept, for every row."""
-    spark = docs.sparkSession
-    with Scratch(spark) as scratch:
-        full = stored(features(docs, width, id_col, text_col).withColumns({"id": F.col("doc"), "doc": F.coalesce("doc", F.lit(_NULL))}), "features")
-        first = stored(full.filter("n > 0").groupBy("cls").agg(F.min("doc").alias("doc")), "classes")
-        reps = stored(full.filter("n > 0").select("cls", "doc", "sketch", "mins").join(first, ["cls", "doc"]).dropDuplicates(["cls"]).coalesce(task_count(spark, first.count(), TASK_CLASSES)), "reps")
-        rows = stored(full.select("id", "doc", "n", "cls"), "rows")
-        scratch.drop(full)
-        joined = components(links(docs, reps, width, at_least, id_col, text_col))
-        roots = first.join(joined.withColumnRenamed("u", "cls"), "cls", "left").select("cls", "doc", F.coalesce("v", "cls").alias("root"))
+    with Scratch(docs.sparkSession) as scratch:
+        rows, roots = _judged(docs, width, at_least, id_col, text_col, scratch)
         least = roots.groupBy("root").agg(F.min("doc").alias("component"))
         of_class = stored(roots.join(least, "root").select("cls", "component"), "components")
         scratch.keep(rows, of_class)
@@ -352,6 +361,17 @@ def grouped(docs: DataFrame, width: int = 5, at_least: int = 80, id_col: str = "
 
 
 def one_of_each(docs: DataFrame, width: int = 5, at_least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component, all their columns; of rows of one id, one stays."""
-    kept = grouped(docs, width, at_least, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept")).distinct()
-    return docs.dropDuplicates([id_col]).join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    """docs with one row of each component, all their columns: that of the least id, and of several texts of this id the one of the least digest.
+
+    Rows are told apart by id and digest; rows that are alike in both have one set and thus one component.
+    Wordless rows link with nothing, so all stay.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        _, roots = _judged(docs, width, at_least, id_col, text_col, scratch)
+        chosen = stored(roots.groupBy("root").agg(F.min(F.struct("doc", "digest")).alias("x")).select("x.doc", "x.digest"), "chosen")
+        scratch.keep(chosen)
+    wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    keys = {"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)), "_digest": _digest(text_col)}
+    rows = docs.filter(~wordless).withColumns(keys).dropDuplicates(["_doc", "_digest"])
+    left = rows.join(chosen.toDF("_doc", "_digest"), ["_doc", "_digest"], "left_semi")
+    return left.select(*docs.columns).union(docs.filter(wordless))

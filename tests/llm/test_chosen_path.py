@@ -86,3 +86,21 @@ def test_components(spark):
         for a, b in pairs:
             label[a] = label[b] = min(label[a], label[b])
     assert got == {x: v for x, v in label.items() if x != v}
+
+
+def test_one_of_each_judges_rows(docs):
+    """Null ids and equal ids with unrelated texts are documents of their own; one row of each component stays."""
+    rng = random.Random(8)
+    base = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60)) for _ in range(30)]
+    near = lambda k: base[k] + " more"
+    rows = [(None, base[k]) for k in range(10)] + [(None, near(0)), (None, base[1])]
+    rows += [(7, base[k]) for k in range(10, 20)] + [(7, near(10)), (7, base[11]), (9, near(12)), (8, base[12]), (9, base[20]), (None, near(13))]
+    rows += [(2**63 - 1, base[21]), (None, base[22]), (3, None), (3, ""), (None, ""), (None, " "), (3, None)]
+    frame = docs(rows)
+    left = [(r.doc_id, r.text) for r in C.one_of_each(frame).collect()]
+    group = {x: k for k, b in enumerate(base) for x in (b, near(k))}
+    want = [(None, k) for k in [*range(10), 22]] + [(7, k) for k in range(10, 20)] + [(9, 20), (2**63 - 1, 21)]
+    assert sorted(((i, group[x]) for i, x in left if x and x.strip()), key=str) == sorted(want, key=str)
+    assert sorted((str(i), str(x)) for i, x in left if not x or not x.strip()) == sorted((str(i), str(x)) for i, x in rows[-5:])
+    judged = {(r.doc_id, r.component_id) for r in C.grouped(frame).collect() if r.kept}
+    assert {(i, i) for i, _ in left if i != 2**63 - 1} <= judged
