@@ -5,8 +5,9 @@ is dropped but has used up its characters. The battery takes every longer run of
 characters, infers its encoding from the characters seen, and tests the ranks of its symbols: chi-squared against a
 uniform alphabet, runs above and below the alphabet's middle, serial correlation. Fisher's method
 joins the three; strings whose randomness is refuted are out. For the rest, the chance that prose of
-this length would look so even (a noncentral chi-squared, growing with length) is the p-value of a
-false discovery; a Benjamini-Hochberg step-up over the text's strings, weighted by their lengths,
+this length would look so even (a noncentral chi-squared, growing with length), and in base32 also,
+and in hexadecimal only, that its letters and digits all happen to be of the alphabet and change places
+so often, is the p-value of a false discovery; a Benjamini-Hochberg step-up over the text's strings, weighted by their lengths,
 bounds the share of false discoveries.
 
 All of it is native expressions within a row: no shuffle, no user functions. Positions are code
@@ -32,16 +33,19 @@ RANDOM = "random"
 LEAST_RANDOM = 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST_RANDOM},}}={{0,2}}"
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Encodings in the order of inference: pattern, alphabet, and how far prose written in it is from uniform (size x sum of squared frequencies - 1).
+#: Encodings in the order of inference: pattern, alphabet, and how far prose written in it is from uniform (size x sum of squared frequencies - 1);
+#: how many digits come first in the alphabet, and the chance of a letter and of a digit of prose to be in it (taken high), where that tells anything.
 ENCODINGS = (
-    (r"^[0-9]+$", "", 0.0),  # numbers are no secrets
-    (r"^[0-9a-f]+$", _DIGITS + "abcdef", 0.6),
-    (r"^[0-9A-F]+$", _DIGITS + "ABCDEF", 0.6),
-    (r"^[A-Z2-7]+$", "234567" + _UPPER, 1.1),
-    (r"^[0-9A-Za-z]+$", _DIGITS + _UPPER + _LOWER, 3.1),
-    (r"^[0-9A-Za-z+/]+$", "+/" + _DIGITS + _UPPER + _LOWER, 3.2),
-    (r"^[0-9A-Za-z_-]+$", "-_" + _DIGITS + _UPPER + _LOWER, 3.2),
+    (r"^[0-9]+$", "", 0.0, 0, 1.0, 1.0),  # numbers are no secrets
+    (r"^[0-9a-f]+$", _DIGITS + "abcdef", 0.6, 10, 0.4, 1.0),
+    (r"^[0-9A-F]+$", _DIGITS + "ABCDEF", 0.6, 10, 0.4, 1.0),
+    (r"^[A-Z2-7]+$", "234567" + _UPPER, 1.1, 6, 1.0, 0.6),
+    (r"^[0-9A-Za-z]+$", _DIGITS + _UPPER + _LOWER, 3.1, 0, 1.0, 1.0),
+    (r"^[0-9A-Za-z+/]+$", "+/" + _DIGITS + _UPPER + _LOWER, 3.2, 0, 1.0, 1.0),
+    (r"^[0-9A-Za-z_-]+$", "-_" + _DIGITS + _UPPER + _LOWER, 3.2, 0, 1.0, 1.0),
 )
+#: The chance, taken high, that in prose and identifiers a digit follows a letter or the other way round once more; a number before or after words is nothing special.
+SWITCH = 0.25
 REFUTED_BELOW = 0.001
 FALSE_DISCOVERIES = 0.01
 MASK = "[SECRET]"
@@ -83,11 +87,11 @@ def _tested(candidates: Column) -> Column:
 
     def prepared(c: Column) -> Column:
         token = F.rtrim(c["what"], F.lit("="))
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), token.alias("t"), _choose(token, 0).alias("alphabet"), _choose(token, 1).alias("skew"))
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), token.alias("t"), _choose(token, 0).alias("alphabet"), *[_choose(token, k).alias(name) for k, name in enumerate(("skew", "digits", "letter", "digit"), 1)])
 
     def ranked(c: Column) -> Column:
         ranks = F.transform(F.split(c["t"], ""), lambda s: F.position(s, c["alphabet"]) - 1)
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), ranks.alias("r"), F.length(c["alphabet"]).cast("double").alias("a"), F.size(ranks).cast("double").alias("n"), c["skew"].alias("skew"))
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), ranks.alias("r"), F.length(c["alphabet"]).cast("double").alias("a"), F.size(ranks).cast("double").alias("n"), *[c[k].alias(k) for k in ("skew", "digits", "letter", "digit")])
 
     def summed(c: Column) -> Column:
         r, n = c["r"], c["n"]
@@ -96,10 +100,14 @@ def _tested(candidates: Column) -> Column:
         squares = total(F.array_distinct(r), lambda s: F.pow(F.size(F.filter(r, lambda x: x == s)), F.lit(2)))
         products = total(F.zip_with(r, turned, lambda x, y: x * y), lambda x: x)
         changes = total(F.slice(F.zip_with(r, turned, lambda x, y: ((x < half) != (y < half)).cast("int")), 1, F.size(r) - 1), lambda x: x)
+        is_digit = lambda x: x < c["digits"]
+        n_digits = total(r, lambda x: is_digit(x).cast("int"))
+        switches = total(F.slice(F.zip_with(r, turned, lambda x, y: (is_digit(x) != is_digit(y)).cast("int")), 1, F.size(r) - 1), lambda x: x)
         return F.struct(
+            (n_digits * F.log(c["digit"]) + (n - n_digits) * F.log(c["letter"]) + F.greatest(switches - 1, F.lit(0.0)) * F.log(F.lit(SWITCH))).alias("log_mixed"),
             c["start"].alias("start"), c["end"].alias("end"), n.alias("n"), c["a"].alias("a"), c["skew"].alias("skew"),
             (c["a"] * squares / n - n).alias("chi"), (changes + 1).alias("runs"), total(r, lambda x: (x < half).cast("int")).alias("low"),
-            products.alias("xy"), total(r, lambda x: x).alias("x"), total(r, lambda x: x * x).alias("xx"),
+            c["letter"].alias("letter"), products.alias("xy"), total(r, lambda x: x).alias("x"), total(r, lambda x: x * x).alias("xx"),
         )
 
     def judged(c: Column) -> Column:
@@ -115,7 +123,9 @@ def _tested(candidates: Column) -> Column:
         joint = -(F.log(p_chi) + F.log(F.least(p_runs, F.lit(1.0))) + F.log(F.least(p_serial, F.lit(1.0))))
         p_random = F.exp(-joint) * (1 + joint + joint * joint / 2)
         prose = n * c["skew"]
-        p_false = _upper_tail(-(c["chi"] - df - prose) / F.sqrt(2 * (df + 2 * prose)))
+        # A number is as even in hexadecimal as a key is, so evenness tells nothing there.
+        p_even = F.when(c["letter"] < 1, F.lit(1.0)).otherwise(_upper_tail(-(c["chi"] - df - prose) / F.sqrt(2 * (df + 2 * prose))))
+        p_false = p_even * F.exp(c["log_mixed"])
         return F.struct(p_false.alias("p"), c["start"].alias("start"), c["end"].alias("end"), n.alias("n"), p_random.alias("p_random"))
 
     known = F.filter(F.transform(candidates, prepared), lambda c: F.length(c["alphabet"]) > 0)

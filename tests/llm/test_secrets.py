@@ -52,3 +52,27 @@ def test_redaction(docs):
     assert secrets.redacted(frame).columns == frame.columns and got[1].spans == "s"
     assert secrets.digests(docs([])).count() == 0 and secrets.redacted(docs([])).count() == 0
     assert "Python" not in secrets.digests(frame)._jdf.queryExecution().executedPlan().toString()
+
+
+MADE = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "234567ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
+def test_battery_finds_hex_and_base32(docs):
+    """Recall by encoding and length, alone and among other candidates; words, numbers and ids in these alphabets are left."""
+    rng = random.Random(12)
+    made = {(e, n, k): "".join(rng.choices(a, k=n)) for e, a in MADE.items() for n in (20, 24, 28, 32, 40, 48, 64) for k in range(100)}
+    other = " src/main/java/org/example/project/Name configurationprocessingvery 12345678901234567890123 " + "q" * 40
+    keys = sorted(made)
+    rows = [(i, f"see {made[x]} here" + (other if x[2] % 2 else "")) for i, x in enumerate(keys)]
+    plain = ["INTERNATIONALIZATION", "CONFIGURATIONPROCESSING", "DONAUDAMPFSCHIFFFAHRTSGESELLSCHAFT", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "12345678901234567890e", "A1234567890123456789", "ffffffffffffffffffff", "00000000000000000000ff", "NAMEOFSOMETHINGLONG22", "deadbeefdeadbeefdeadbeef", "ABCABCABCABCABCABCABC2"]
+    rows += [(10**6 + i, f"see {x} here") for i, x in enumerate(plain)]
+    words = ["INTERNATIONAL", "COMMIT", "CONFIGURATION", "PROCESSING", "INVOICE", "NUMBER", "CUSTOMER", "PARTS", "REFERENCE", "VERY", "LONG", "ORDER"]
+    rows += [(2 * 10**6 + i, f"see {''.join(rng.choices(words, k=4))}{rng.randint(2, 7)}{rng.randint(2, 7)} here") for i in range(400)]
+    got = {r.doc_id: r.spans for r in secrets.digests(docs(rows)).collect()}
+    recall = {}
+    for i, (e, n, _) in enumerate(keys):
+        recall[e, n] = recall.get((e, n), 0) + bool(got[i])
+    print({f"{e} {n}": c for (e, n), c in recall.items()})
+    assert all(c >= 90 for c in recall.values()), recall
+    assert [x for i, x in enumerate(plain) if got[10**6 + i]] == []
+    assert sum(got[2 * 10**6 + i] != "" for i in range(400)) <= 4  # FALSE_DISCOVERIES
