@@ -1,8 +1,9 @@
 """Secret scan: known shapes, and a battery of randomness tests for strings of no known shape.
 
 Known shapes (``BASE``) are matched leftmost and without overlap per kind; a match that is too short
-is dropped but has used up its characters. The battery takes every longer run of alphabet
-characters, infers its encoding from the characters seen, and tests the ranks of its symbols: chi-squared against a
+is dropped but has used up its characters. The battery takes every longer run of letters and digits, of
+these with + and /, and of these with - and _, so a key in a path is tested without the words around it
+as well as with them; found strings that overlap are told as one. It infers its encoding from the characters seen, and tests the ranks of its symbols: chi-squared against a
 uniform alphabet, runs above and below the alphabet's middle, serial correlation. Fisher's method
 joins the three; strings whose randomness is refuted are out. For the rest, the chance that prose of
 this length would look so even (a noncentral chi-squared, growing with length), and in base32 also,
@@ -31,7 +32,9 @@ BASE = (
 )
 RANDOM = "random"
 LEAST_RANDOM = 20
-CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST_RANDOM},}}={{0,2}}"
+#: Whole runs; then parts of runs, in each alphabet, with the separators of the others around them. Only lower-case parts are words: of 20
+#: random symbols, these would be such in one case of 10^7.
+CANDIDATES = (rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST_RANDOM},}}={{0,2}}",) + tuple(rf"(?<![A-Za-z0-9{x}])[A-Za-z0-9{x}]{{{LEAST_RANDOM},}}={{0,2}}" for x in ("", "+/", "_-"))
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings in the order of inference: pattern, alphabet, and how far prose written in it is from uniform (size x sum of squared frequencies - 1);
 #: how many digits come first in the alphabet, and the chance of a letter and of a digit of prose to be in it (taken high), where that tells anything.
@@ -141,14 +144,27 @@ def _discoveries(tested: Column, length_sum: Column) -> Column:
     return F.filter(F.transform(marked, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), ((c["at"] <= last()) & (c["p_random"] >= REFUTED_BELOW)).alias("ok"))), lambda c: c["ok"])
 
 
+def _merged(spans: Column) -> Column:
+    """Spans that overlap as one."""
+
+    def add(out: Column, c: Column) -> Column:
+        last = F.element_at(out, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], c["end"]).alias("end"), last["ok"].alias("ok"))
+        return F.when(c["start"] < last["end"], F.concat(F.slice(out, 1, F.size(out) - 1), F.array(longer))).otherwise(F.concat(out, F.array(c)))
+
+    ordered = F.sort_array(spans)
+    return F.aggregate(F.slice(ordered, 2, F.size(ordered)), F.slice(ordered, 1, 1), add)
+
+
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, spans array<struct<start, kind_no, end, kind>> in order, base_spans likewise; and the columns named in ``keep``."""
     a = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.struct(F.lit(0).alias("_none"), *[F.col(c).alias(c) for c in keep]).alias("_keep"))
     text = F.col("_text")
     for kind, pattern, group, _ in BASE:
         a = a.withColumns({f"_{kind}_0": F.regexp_extract_all(text, F.lit(pattern), F.lit(0))} | ({f"_{kind}_m": F.regexp_extract_all(text, F.lit(pattern), F.lit(group))} if group else {}))
-    a = a.withColumn("_random_0", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
-    a = a.withColumns({f"_{kind}": _spans(text, F.col(f"_{kind}_0"), F.col(f"_{kind}_m" if group else f"_{kind}_0"), pattern, least) for kind, pattern, group, least in BASE} | {"_candidates": _spans(text, F.col("_random_0"), F.col("_random_0"), CANDIDATE, 0)})
+    a = a.withColumns({f"_random_{i}": F.regexp_extract_all(text, F.lit(x), F.lit(0)) for i, x in enumerate(CANDIDATES)})
+    a = a.withColumns({f"_{kind}": _spans(text, F.col(f"_{kind}_0"), F.col(f"_{kind}_m" if group else f"_{kind}_0"), pattern, least) for kind, pattern, group, least in BASE} | {f"_run_{i}": _spans(text, F.col(f"_random_{i}"), F.col(f"_random_{i}"), x, 0) for i, x in enumerate(CANDIDATES)})
+    a = a.withColumn("_candidates", F.array_distinct(F.concat("_run_0", *[F.filter(f"_run_{i}", lambda c: F.regexp_like(c["what"], F.lit("[0-9A-Z]"))) for i in range(1, len(CANDIDATES))])))
     kinds = [k for k, *_ in BASE] + [RANDOM]
     named = lambda c, kind: F.transform(c, lambda x: F.struct(x["start"].alias("start"), F.lit(kinds.index(kind)).alias("kind_no"), x["end"].alias("end"), F.lit(kind).alias("kind")))
     a = a.withColumn("base_spans", F.sort_array(F.concat(*[named(F.col(f"_{k}"), k) for k, *_ in BASE])))
@@ -159,6 +175,7 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     a = a.withColumn("_sum", F.aggregate("_tested", F.lit(0.0), lambda s, c: s + c["n"]))
     empty = F.array().cast("array<struct<start:int,end:int,ok:boolean>>")
     a = a.withColumn("_random", F.when(F.size("_tested") > 0, _discoveries(F.col("_tested"), F.col("_sum"))).otherwise(empty))
+    a = a.withColumn("_random", F.when(F.size("_random") > 1, _merged(F.col("_random"))).otherwise(F.col("_random")))
     return a.select(F.col("_id").alias(id_col), "_text", "_keep", *[f"n_{k}" for k, *_ in BASE], F.size("_random").cast("long").alias("n_random"), "base_spans", F.sort_array(F.concat("base_spans", named(F.col("_random"), RANDOM))).alias("spans"))
 
 

@@ -76,3 +76,29 @@ def test_battery_finds_hex_and_base32(docs):
     assert all(c >= 90 for c in recall.values()), recall
     assert [x for i, x in enumerate(plain) if got[10**6 + i]] == []
     assert sum(got[2 * 10**6 + i] != "" for i in range(400)) <= 4  # FALSE_DISCOVERIES
+
+
+def test_keys_in_paths(docs):
+    """A key is found where other parts of its run have the other alphabet's separators, or words of its own; paths of words are left."""
+    rng = random.Random(4)
+    letters = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    frames = ["/my-team/hooks/{}", "/my_team/{}/x-y", "https://example.org/services/incoming/webhooks/{}/", "name-of-the-thing/{}+part", "some_module_name_{}"]
+    rows, at = [], {}
+    for i in range(200):
+        key = "".join(rng.choices(letters + ("_-" if i % 5 == 0 else ""), k=38))
+        key = "a" + key + "Z"
+        text = f"see {frames[i % 5].format(key)} here"
+        rows.append((i, text))
+        at[i] = (text.index(key), text.index(key) + len(key))
+    words = "team hooks services incoming webhooks configuration processing international example project resources templates".split()
+    for i in range(1000, 1400):
+        rows.append((i, "see /" + "/".join(rng.choice("-_").join(rng.choices(words, k=rng.randint(1, 3))) for _ in range(5)) + " here"))
+    frame = docs(rows)
+    got = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x] for r in secrets.digests(frame).collect()}
+    found = [sum(any(s <= at[i][0] and at[i][1] <= e for s, e in got[i]) for i in at if i % 5 == k) for k in range(5)]
+    print(found)
+    assert all(x >= 36 for x in found), found
+    assert all(len(got[i]) <= 1 for i in at)
+    assert sum(bool(got[i]) for i in got if i >= 1000) <= 4
+    left = {r.doc_id: r.text for r in secrets.redacted(frame).collect()}
+    assert all(rows[i][1][slice(*at[i])] not in left[i] for i in at if got[i])
