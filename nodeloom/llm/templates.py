@@ -1,8 +1,10 @@
 """Benchmark decontamination by canonical templates, in native expressions.
 
 Numbers, names and units of a text become typed placeholders, other words lose case and
-punctuation. Windows of ``WIDTH`` template words of documents and of benchmark items are joined by
-hash, so a question whose numbers or names were changed still meets its item. A document and an item
+punctuation. A capitalised word is a name within a sentence, and at the start of a text or sentence if it is no
+stop word. Windows of ``WIDTH`` template words of documents and of benchmark items are joined by
+hash, so a question whose numbers or names were changed still meets its item. Where a text has names, its windows with these left as words are joined beside, so
+copies in any case meet as well. A document and an item
 that share enough windows are a candidate; where the item has placeholders, the values in its slots
 must map consistently: one value of the item always to one value of the document.
 
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.llm.common import stored
+from nodeloom.llm.quality import STOP_WORDS
 
 WIDTH = 8
 #: The part of an item's windows that a document must have.
@@ -31,6 +34,9 @@ _NUMBER = r"(\p{Nd}+(?:[.,]\p{Nd}+)*)"
 #: A capitalised word within a sentence.
 _NAME = r"(?<=[\p{Ll}\p{Nd},;] )\p{Lu}[\p{L}\p{M}'-]*"
 
+#: A capitalised word that begins the text or a sentence.
+_FIRST = rf"(?<=^|[.!?:] |[.!?:][\"'”’)] )(?!(?i:{'|'.join(sorted(set(STOP_WORDS)))}|if|when|how|what|who|where|why|there|these|those|then|each|every|all|some|find|given|after|before|while|let|no|yes|do|does|did|can|will)(?![\p{{L}}\p{{M}}'-]))\p{{Lu}}[\p{{L}}\p{{M}}'-]*"
+
 
 def _spaced(text: Column) -> Column:
     """Words with one space between them, numbers as words of their own."""
@@ -38,9 +44,9 @@ def _spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(one, _NUMBER, " $1 "), " {2,}", " "))
 
 
-def _template(spaced: Column) -> Column:
-    """The same number of words, with placeholders."""
-    x = F.regexp_replace(spaced, _NAME, "<name>")
+def _template(spaced: Column, names: bool = True) -> Column:
+    """The same number of words, with placeholders; names: for names as well."""
+    x = F.regexp_replace(F.regexp_replace(spaced, _NAME, "<name>"), _FIRST, "<name>") if names else spaced
     x = F.regexp_replace(x, _NUMBER, "<num>")
     x = F.regexp_replace(x, rf"(?<=<num> )(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", "<unit>")
     x = F.regexp_replace(x, r"(?<=<num> )[$€£%°]+(?![^ ])", "<unit>")
@@ -48,10 +54,12 @@ def _template(spaced: Column) -> Column:
 
 
 def canonical(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, raw and template: parallel arrays of words."""
+    """id, raw, template, and plain (the template with names left as words; empty if there are none): parallel arrays of words."""
     a = rows.select(F.col(id_col).alias(id_col), _spaced(F.col(text_col)).alias("_spaced"))
     words = lambda c: F.when(F.length("_spaced") > 0, F.split(c, " ")).otherwise(F.array().cast("array<string>"))
-    return a.select(id_col, words(F.col("_spaced")).alias("raw"), words(_template(F.col("_spaced"))).alias("template"))
+    a = a.withColumn("_template", _template(F.col("_spaced")))
+    plain = F.when(F.contains("_template", F.lit("<name>")), words(_template(F.col("_spaced"), False))).otherwise(F.array().cast("array<string>"))
+    return a.select(id_col, words(F.col("_spaced")).alias("raw"), words(F.col("_template")).alias("template"), plain.alias("plain"))
 
 
 def _windows(codes: str, size: Column, width: int) -> Column:
@@ -62,12 +70,13 @@ def _windows(codes: str, size: Column, width: int) -> Column:
 
 def _exploded(words: DataFrame, id_col: str, widths: list[int], whole: bool) -> DataFrame:
     """id, at (from 0), h. whole: only the width that fits each row, WIDTH at most."""
-    a = words.select(id_col, F.size("template").alias("_size"), F.transform("template", lambda w: F.xxhash64(w)).alias("_codes"))
+    codes = {f"_{c}": F.transform(c, lambda w: F.xxhash64(w)) for c in ("template", "plain")}
+    a = words.select(id_col, *[x.alias(c) for c, x in codes.items()])
     parts = []
-    for w in widths:
-        fits = F.col("_size") == w if whole and w < WIDTH else F.lit(True)
-        parts.append(F.when(fits, F.transform(_windows("_codes", F.col("_size"), w), lambda h, i: F.struct(i.alias("at"), h.alias("h")))).otherwise(F.array().cast("array<struct<at:int,h:bigint>>")))
-    return a.select(id_col, F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("x")).select(id_col, "x.at", "x.h")
+    for w, c in [(w, c) for c in codes for w in widths]:
+        fits = F.size(c) == w if whole and w < WIDTH else F.lit(True)
+        parts.append(F.when(fits, F.transform(_windows(c, F.size(c), w), lambda h, i: F.struct(i.alias("at"), h.alias("h")))).otherwise(F.array().cast("array<struct<at:int,h:bigint>>")))
+    return a.select(id_col, F.explode(F.concat(*parts)).alias("x")).select(id_col, "x.at", "x.h")
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least_share: float = LEAST_SHARE) -> DataFrame:

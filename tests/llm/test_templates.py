@@ -58,3 +58,21 @@ def test_empty_and_joined_without_broadcast(spark, docs, monkeypatch):
     out = T.leaks(frame, bench)
     assert [r.doc_id for r in out.collect()] == [1]
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_that_begin_sentences_and_copies_in_any_case(spark, docs):
+    apples = "Anna has 3 apples in a bag. Anna gives 2 of them away. Anna wants to know how many apples are left."
+    walk = "On monday morning Anna walks with Boris along the old river to Clara and Doris who wait there with Emil"
+    bench = items(spark, apples, walk)
+    texts = [
+        (1, apples.replace("Anna", "Peter").replace("3", "14"), 0),
+        (2, apples.lower(), 0),
+        (3, apples.upper(), 0),
+        (4, walk.lower(), 1),
+        (5, walk.upper(), 1),
+        (6, "some words before " + walk.replace("Anna", "Nora") + " and some after", 1),
+        (7, apples.replace("Anna has", "Peter has").replace("Anna gives", "Olaf gives").replace("Anna wants", "Rita wants"), None),
+        (8, "On tuesday evening Fritz eats with Gerd below the new tree at Hanna and Ida who sleep here near Jan", None),
+    ]
+    got = sorted((r.doc_id, r.item_id) for r in T.leaks(docs([x[:2] for x in texts]), bench).collect())
+    assert got == [(i, k) for i, _, k in texts if k is not None]
