@@ -239,3 +239,11 @@ def test_antichain_and_documents(spark):
     assert sorted(r.s for r in spanning.antichain(sets, "s").collect()) == [["b", "c", "a"], ["d"], ["d"]]
     docs = spanning.documents(spark.range(500).select(F.col("id").alias("A")))
     assert sorted(r.doc_no for r in docs.collect()) == list(range(500))
+
+
+def test_reachable_is_whole_or_an_error(spark):
+    edges = spark.createDataFrame([(str(i + 1), "A", str(i), "A") for i in range(3)], "src_id string, src_name string, dst_id string, dst_name string")
+    start = spark.createDataFrame([("0", "A")], "id string, name string")
+    assert spanning.reachable(edges, start, max_rounds=3).count() == 4
+    with pytest.raises(ValueError, match="2 rounds"):
+        spanning.reachable(edges, start, max_rounds=2)
