@@ -5,11 +5,13 @@ is dropped but has used up its characters. The battery takes every longer run of
 these with + and /, and of these with - and _, so a key in a path is tested without the words around it
 as well as with them; found strings that overlap are told as one. It infers its encoding from the characters seen, and tests the ranks of its symbols: chi-squared against a
 uniform alphabet, runs above and below the alphabet's middle, serial correlation. Fisher's method
-joins the three; strings whose randomness is refuted are out. For the rest, the chance that prose of
-this length would look so even (a noncentral chi-squared, growing with length), and in base32 also,
-and in hexadecimal only, that its letters and digits all happen to be of the alphabet and change places
-so often, is the p-value of a false discovery; a Benjamini-Hochberg step-up over the text's strings, weighted by their lengths,
-bounds the share of false discoveries.
+joins the three; a string whose randomness is refuted has the p-value 1 of a false discovery. For the
+rest it is the largest of three, as each test must tell against ordered text: the chance that prose of this length
+would look so even (a noncentral chi-squared, growing with length), and in base32 also, and in
+hexadecimal only, that its letters and digits all happen to be of the alphabet and change places so
+often; and the chances that runs or serial correlation of ordered text would be so near to those of
+random text (``MARGIN``). A Benjamini-Hochberg step-up over the text's strings, weighted by their lengths,
+bounds the share of false discoveries. Work grows as n log n with a text's strings.
 
 All of it is native expressions within a row: no shuffle, no user functions. Positions are code
 points, ends exclusive.
@@ -50,23 +52,36 @@ ENCODINGS = (
 #: The chance, taken high, that in prose and identifiers a digit follows a letter or the other way round once more; a number before or after words is nothing special.
 SWITCH = 0.25
 REFUTED_BELOW = 0.001
+#: How many deviations, times the square root of the length, ordered text is off at least in runs or in serial correlation.
+MARGIN = 1.2
 FALSE_DISCOVERIES = 0.01
+#: Redaction works on parts of so many characters.
+PART = 1000
 MASK = "[SECRET]"
 _SPAN = "array<struct<start:int,end:int,what:string>>"
 
 
-def _spans(text: Column, hits: Column, measured: Column, pattern: str, least: int) -> Column:
-    """Start, end and measured string of each match; places come from the lengths of the pieces between matches."""
-    pieces = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
-    parts = F.zip_with(pieces, F.arrays_zip(hits.alias("h"), measured.alias("m")), lambda p, x: F.struct(F.length(p).alias("p"), F.length(x["h"]).alias("h"), x["m"].alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+def _let(value: Column, body) -> Column:
+    """body of the value, which is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _scan(values: Column, join) -> Column:
+    """Inclusive prefix scan of an array by doubling: n log n steps."""
+
+    def over(xs: Column) -> Column:
+        powers = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(xs), F.lit(1)))).cast("int")), lambda j: F.pow(F.lit(2), j).cast("int"))
+        return F.aggregate(powers, xs, lambda acc, p: F.transform(acc, lambda x, i: F.when(i >= p, join(F.get(acc, i - p), x)).otherwise(x)))
 
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["p"]
-        span = F.struct(begin.alias("start"), (begin + x["h"]).alias("end"), x["m"].alias("what"))
-        return F.struct((begin + x["h"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    return _let(values, over)
 
-    found = F.aggregate(parts, start, add, lambda acc: acc["out"])
+
+def _spans(text: Column, hits: Column, measured: Column, pattern: str, least: int) -> Column:
+    """Start, end and measured string of each match; places come from the lengths of matches and of the pieces between them."""
+    pieces = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
+    ends = _scan(F.zip_with(pieces, hits, lambda p, h: F.length(p) + F.length(h)), lambda x, y: x + y)
+    both = F.arrays_zip(hits.alias("h"), measured.alias("m"))
+    found = F.zip_with(both, ends, lambda x, e: F.struct((e - F.length(x["h"])).alias("start"), e.alias("end"), x["m"].alias("what")))
     return F.when(F.size(hits) > 0, F.filter(found, lambda x: F.length(x["what"]) >= least)).otherwise(F.array().cast(_SPAN))
 
 
@@ -119,41 +134,68 @@ def _tested(candidates: Column) -> Column:
         p_chi = _upper_tail((F.pow(c["chi"] / df, F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread))
         both = 2 * c["low"] * (n - c["low"])
         variance = both * (both - n) / (n * n * (n - 1))
-        p_runs = F.when(variance > 0, 2 * _upper_tail(F.abs(c["runs"] - 1 - both / n) / F.sqrt(F.greatest(variance, F.lit(1e-9))))).otherwise(F.lit(1e-12))
+        z_runs = F.abs(c["runs"] - 1 - both / n) / F.sqrt(F.greatest(variance, F.lit(1e-9)))
+        p_runs = F.when(variance > 0, 2 * _upper_tail(z_runs)).otherwise(F.lit(1e-12))
         below = n * c["xx"] - c["x"] * c["x"]
         serial = (n * c["xy"] - c["x"] * c["x"]) / F.greatest(below, F.lit(1e-9))
-        p_serial = F.when(below > 0, 2 * _upper_tail(F.abs(serial + 1 / (n - 1)) * (n - 1) * F.sqrt(n - 2) / n)).otherwise(F.lit(1e-12))
+        z_serial = F.abs(serial + 1 / (n - 1)) * (n - 1) * F.sqrt(n - 2) / n
+        p_serial = F.when(below > 0, 2 * _upper_tail(z_serial)).otherwise(F.lit(1e-12))
         joint = -(F.log(p_chi) + F.log(F.least(p_runs, F.lit(1.0))) + F.log(F.least(p_serial, F.lit(1.0))))
         p_random = F.exp(-joint) * (1 + joint + joint * joint / 2)
         prose = n * c["skew"]
         # A number is as even in hexadecimal as a key is, so evenness tells nothing there.
         p_even = F.when(c["letter"] < 1, F.lit(1.0)).otherwise(_upper_tail(-(c["chi"] - df - prose) / F.sqrt(2 * (df + 2 * prose))))
         p_false = p_even * F.exp(c["log_mixed"])
-        return F.struct(p_false.alias("p"), c["start"].alias("start"), c["end"].alias("end"), n.alias("n"), p_random.alias("p_random"))
+        # Ordered text is at least MARGIN x sqrt(n) deviations off in runs or in serial correlation; all three must tell against it.
+        far = lambda z, known: F.when(known, _upper_tail(F.lit(MARGIN) * F.sqrt(n) - z)).otherwise(F.lit(1.0))
+        joint_p = F.greatest(p_false, far(z_runs, variance > 0), far(z_serial, below > 0))
+        p = F.when(p_random < REFUTED_BELOW, F.lit(1.0)).otherwise(joint_p)
+        return F.struct(p.alias("p"), c["start"].alias("start"), c["end"].alias("end"), n.alias("n"), c["chi"].alias("chi"), z_runs.alias("z_runs"), z_serial.alias("z_serial"))
 
     known = F.filter(F.transform(candidates, prepared), lambda c: F.length(c["alphabet"]) > 0)
     return F.transform(F.transform(F.transform(known, ranked), summed), judged)
 
 
-def _discoveries(tested: Column, length_sum: Column) -> Column:
-    """Weighted step-up: p / weight in ascending order against its share of FALSE_DISCOVERIES."""
-    m = F.size(tested)
-    weighted = F.sort_array(F.transform(tested, lambda c: F.struct((c["p"] * length_sum / (c["n"] * m)).alias("q"), c["start"].alias("start"), c["end"].alias("end"), c["p_random"].alias("p_random"))))
-    marked = F.transform(weighted, lambda c, i: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["p_random"].alias("p_random"), F.when(c["q"] <= F.lit(FALSE_DISCOVERIES) * (i + 1) / m, i).otherwise(F.lit(-1)).alias("i"), i.alias("at")))
-    last = lambda: F.array_max(F.transform(marked, lambda c: c["i"]))
-    return F.filter(F.transform(marked, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), ((c["at"] <= last()) & (c["p_random"] >= REFUTED_BELOW)).alias("ok"))), lambda c: c["ok"])
+def _discoveries(tested: Column) -> Column:
+    """Weighted step-up over the battery's joint p-values: p / weight in ascending order against its share of FALSE_DISCOVERIES. Start and end of the discoveries."""
+
+    def stepped(weighted: Column, m: Column) -> Column:
+        last = F.coalesce(F.array_max(F.transform(weighted, lambda c, i: F.when(c["q"] <= F.lit(FALSE_DISCOVERIES) * (i + 1) / m, i).otherwise(F.lit(-1)))), F.lit(-1))
+        return F.transform(F.slice(weighted, 1, last + 1), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end")))
+
+    def all_of(t: Column) -> Column:
+        m, lengths = F.size(t), F.aggregate(t, F.lit(0.0), lambda s, c: s + c["n"])
+        weight = lambda total: F.sort_array(F.transform(t, lambda c: F.struct((c["p"] * total / (c["n"] * m)).alias("q"), c["start"].alias("start"), c["end"].alias("end"))))
+        return _let(_let(lengths, weight), lambda w: stepped(w, m))
+
+    return _let(tested, all_of)
 
 
 def _merged(spans: Column) -> Column:
-    """Spans that overlap as one."""
+    """Start and end of spans, those that overlap as one."""
+
+    def over(s: Column, reach: Column) -> Column:
+        heads = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x["start"] >= F.get(reach, i - 1)), i)), lambda i: i.isNotNull())
+        one = lambda h: F.transform(h, lambda k, j: F.struct(F.get(s, k)["start"].alias("start"), F.get(reach, F.coalesce(F.get(h, j + 1), F.size(s)) - 1).alias("end")))
+        return _let(heads, one)
+
+    ends = lambda s: _scan(F.transform(s, lambda x: x["end"]), F.greatest)
+    return _let(F.sort_array(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))), lambda s: _let(ends(s), lambda reach: over(s, reach)))
+
+
+def _apart(candidates: Column, base: Column) -> Column:
+    """The candidates that no base span overlaps: both in order of start, with the furthest end before each and the next start after it."""
+    far = F.lit(2**31 - 1)
+    events = F.sort_array(F.concat(F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("own"), b["end"].alias("end"), F.lit("").alias("what"))), F.transform(candidates, lambda c: F.struct(c["start"].alias("start"), F.lit(1).alias("own"), c["end"].alias("end"), c["what"].alias("what")))))
 
-    def add(out: Column, c: Column) -> Column:
-        last = F.element_at(out, -1)
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], c["end"]).alias("end"), last["ok"].alias("ok"))
-        return F.when(c["start"] < last["end"], F.concat(F.slice(out, 1, F.size(out) - 1), F.array(longer))).otherwise(F.concat(out, F.array(c)))
+    def over(ev: Column) -> Column:
+        before = _scan(F.transform(ev, lambda x: F.when(x["own"] == 0, x["end"]).otherwise(F.lit(-1))), F.greatest)
+        after = F.reverse(_scan(F.reverse(F.transform(ev, lambda x: F.when(x["own"] == 0, x["start"]).otherwise(far))), F.least))
+        around = F.arrays_zip(ev.alias("x"), before.alias("before"), after.alias("after"))
+        free = F.filter(around, lambda a: (a["x"]["own"] == 1) & (a["before"] <= a["x"]["start"]) & (a["after"] >= a["x"]["end"]))
+        return F.transform(free, lambda a: F.struct(a["x"]["start"].alias("start"), a["x"]["end"].alias("end"), a["x"]["what"].alias("what")))
 
-    ordered = F.sort_array(spans)
-    return F.aggregate(F.slice(ordered, 2, F.size(ordered)), F.slice(ordered, 1, 1), add)
+    return F.when((F.size(base) > 0) & (F.size(candidates) > 0), _let(events, over)).otherwise(candidates)
 
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -168,14 +210,9 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     kinds = [k for k, *_ in BASE] + [RANDOM]
     named = lambda c, kind: F.transform(c, lambda x: F.struct(x["start"].alias("start"), F.lit(kinds.index(kind)).alias("kind_no"), x["end"].alias("end"), F.lit(kind).alias("kind")))
     a = a.withColumn("base_spans", F.sort_array(F.concat(*[named(F.col(f"_{k}"), k) for k, *_ in BASE])))
-    free = F.filter("_candidates", lambda c: ~F.exists("base_spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    a = a.select("_id", "_text", "_keep", "base_spans", *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k, *_ in BASE], free.alias("_free"))
-    none = F.array().cast("array<struct<p:double,start:int,end:int,n:double,p_random:double>>")
-    a = a.withColumn("_tested", F.when(F.size("_free") > 0, _tested(F.col("_free"))).otherwise(none))
-    a = a.withColumn("_sum", F.aggregate("_tested", F.lit(0.0), lambda s, c: s + c["n"]))
-    empty = F.array().cast("array<struct<start:int,end:int,ok:boolean>>")
-    a = a.withColumn("_random", F.when(F.size("_tested") > 0, _discoveries(F.col("_tested"), F.col("_sum"))).otherwise(empty))
-    a = a.withColumn("_random", F.when(F.size("_random") > 1, _merged(F.col("_random"))).otherwise(F.col("_random")))
+    a = a.select("_id", "_text", "_keep", "base_spans", *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k, *_ in BASE], _apart(F.col("_candidates"), F.col("base_spans")).alias("_free"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    a = a.withColumn("_random", F.when(F.size("_free") > 0, _merged(_discoveries(_tested(F.col("_free"))))).otherwise(none))
     return a.select(F.col("_id").alias(id_col), "_text", "_keep", *[f"n_{k}" for k, *_ in BASE], F.size("_random").cast("long").alias("n_random"), "base_spans", F.sort_array(F.concat("base_spans", named(F.col("_random"), RANDOM))).alias("spans"))
 
 
@@ -193,11 +230,19 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """docs with every span of the text (overlapping ones as one) replaced by MASK; all rows stay; a null text stays null."""
     others = [c for c in docs.columns if c != id_col]
     a = found(docs, id_col, text_col, keep=tuple(others))
-    text = F.col("_text")
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK))).alias("out"),
-    )
-    masked = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    new = F.when(F.size("spans") > 0, masked).otherwise(F.col("_keep")[text_col])
+    a = a.withColumns({"_merged": F.when(F.size("spans") > 0, _merged(F.col("spans"))), "_parts": F.when(F.size("spans") > 0, F.regexp_extract_all("_text", F.lit(rf"(?s).{{1,{PART}}}"), F.lit(0)))})
+
+    def between(parts: Column, begin: Column, end: Column) -> Column:
+        """Characters of the text, from its parts, so that no piece costs more than its own length and two parts."""
+        p, q = F.floor(begin / PART).cast("int"), F.floor(end / PART).cast("int")
+        of = lambda i: F.coalesce(F.get(parts, i), F.lit(""))
+        ahead = F.substring(of(p), begin - p * PART + 1, F.lit(PART))
+        return F.when(p == q, F.substring(of(p), begin - p * PART + 1, end - begin)).otherwise(F.concat(ahead, F.array_join(F.slice(parts, p + 2, q - p - 1), ""), F.substring(of(q), F.lit(1), end - q * PART)))
+
+    def masked(merged: Column, parts: Column) -> Column:
+        ahead = F.transform(merged, lambda x, i: F.concat(between(parts, F.coalesce(F.get(merged, i - 1)["end"], F.lit(0)), x["start"]), F.lit(MASK)))
+        return F.concat(F.array_join(ahead, ""), between(parts, F.element_at(merged, -1)["end"], F.length("_text")))
+
+    once = _let(F.struct(F.col("_merged").alias("m"), F.col("_parts").alias("p")), lambda x: masked(x["m"], x["p"]))
+    new = F.when(F.size("spans") > 0, once).otherwise(F.col("_keep")[text_col])
     return a.select(*[F.col(id_col) if c == id_col else (new if c == text_col else F.col("_keep")[c]).alias(c) for c in docs.columns])

@@ -102,3 +102,48 @@ def test_keys_in_paths(docs):
     assert sum(bool(got[i]) for i in got if i >= 1000) <= 4
     left = {r.doc_id: r.text for r in secrets.redacted(frame).collect()}
     assert all(rows[i][1][slice(*at[i])] not in left[i] for i in at if got[i])
+
+
+def test_statistics_equal_numpy(spark):
+    import numpy as np
+
+    rng = random.Random(8)
+    alphabets = [("0123456789abcdef", 24), ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 40), ("234567ABCDEFGHIJKLMNOPQRSTUVWXYZ", 33)]
+    tokens = ["".join(rng.choices(a, k=n + k)) for a, n in alphabets for k in range(12)] + ["ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "configurationProcessingInternational7"]
+    frame = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(tokens)], "i int, t string, n int")
+    one = F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end"), F.col("t").alias("what")))
+    got = {r.i: r.x for r in frame.select("i", F.get(secrets._tested(one), 0).alias("x")).collect()}
+    for i, t in enumerate(tokens):
+        alphabet = next(a for p, a, *_ in secrets.ENCODINGS if re.match(p, t))
+        r = np.array([alphabet.index(c) for c in t], float)
+        n, a = len(r), len(alphabet)
+        expected = n / a
+        chi = sum((np.sum(r == k) - expected) ** 2 / expected for k in range(a))
+        high = r >= a / 2
+        runs, n1, n0 = 1 + np.sum(high[1:] != high[:-1]), high.sum(), (~high).sum()
+        mean, var = 1 + 2 * n1 * n0 / n, 2 * n1 * n0 * (2 * n1 * n0 - n) / (n * n * (n - 1))
+        serial = np.sum((r - r.mean()) * (np.roll(r, -1) - r.mean())) / np.sum((r - r.mean()) ** 2)
+        want = [chi, abs(runs - mean) / np.sqrt(var), abs(serial + 1 / (n - 1)) * (n - 1) * np.sqrt(n - 2) / n]
+        assert np.allclose([got[i].chi, got[i].z_runs, got[i].z_serial], want), (t, got[i], want)
+
+
+def test_many_candidates_in_one_text(docs):
+    """Tens of thousands of spans in a row take seconds; spans and redaction equal a plain computation."""
+    import time
+
+    rng = random.Random(6)
+    keys = ["".join(rng.choices("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=36)) for _ in range(10000)]
+    text = "".join(f"é{k} " if i % 3 else f"token={k} " for i, k in enumerate(keys)) + "the end"
+    frame = docs([(1, text), (2, "é" * 2500 + " token=abcdefgh99"), (3, "token=abcdefgh99" + "😀" * 1000 + "token=abcdefgh98 " + "y " * 3000)])
+    began = time.time()
+    got = {r.doc_id: r.spans for r in secrets.digests(frame).collect()}
+    left = {r.doc_id: r.text for r in secrets.redacted(frame).collect()}
+    assert time.time() - began < 60
+    spans = [tuple(map(int, x.split(":")[1:])) for x in got[1].split(",")]
+    assert len(spans) >= 9000 and spans == sorted(spans) and got[1].count("assign") == 3334
+    at, out = 0, []
+    for s, e in spans:
+        out += [text[at:s], secrets.MASK]
+        at = e
+    assert left[1] == "".join(out) + text[at:]
+    assert left[2] == "é" * 2500 + " " + secrets.MASK and left[3] == secrets.MASK + "😀" * 1000 + secrets.MASK + " " + "y " * 3000
