@@ -111,7 +111,8 @@ def _item_windows(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     a = canonical(keyed.dropDuplicates(["_key"]), ["_key"], "_text", True).filter(F.size("low") > 0)
     a = a.withColumn("width", F.least(F.size("low"), F.lit(WIDTH)))
     parts = []
-    for w in range(1, WIDTH + 1):
+    # At most WIDTH values; a plan for each width that there is.
+    for w in sorted(r.width for r in a.select("width").distinct().collect()) or [WIDTH]:
         own = a.filter(F.col("width") == w)
         hashed = _hashed(own, ["_key", *_FORMS], list(_FORMS), [w])
         # Outer, as else the optimizer would test the whole expression's size once more, in terms of the text.
