@@ -9,9 +9,10 @@ text, and rows stay even. For each bucket the first occurrence over all groups i
 others are sent on, packed again by parts of the id space, merge into maximal intervals, one row for
 each text that loses words, and are joined to the texts.
 
-Of a 64-bit hash the bucket gives the top bits and ``digest_bytes`` the low ones: 60 bits with 16 buckets,
-62 with 64, all 64 from 256 on. Windows of different words with equal hashes are taken for equal: among
-n windows about n^2 / 2^65 pairs with all bits (0.002 expected in 0.5 GB, 2 in 30 GB).
+Windows are told apart by two independent hashes: 56 bits of the first, 16 of the second, and the bucket,
+which is the second's top bits, so that what stands for a window grows with the input: 76 bits with the 16
+buckets of small inputs, 84 at 30 GB, 95 at 100 TB. Among n windows about n^2 / 2^(bits + 1) pairs of
+different words are taken for equal: 1e-6 expected at 30 GB, 0.01 at 100 TB. Within a group of texts all 128 bits are compared.
 
 Defined cases: a null, empty or short text has no window and keeps its words; texts of any length
 are hashed whole; rows of one id and one text are taken as the same document given again: what is
@@ -31,47 +32,70 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodeloom.llm.bpe import groups
-from nodeloom.llm.common import slice_hashes, texts_in, window_hashes, words_of
+from nodeloom.llm.common import mix, slice_hashes, texts_in, window_hashes, words_of
 
 WIDTH = 20
 GROUP_BYTES = 4_000_000
 #: Bytes of input for each bucket of hash space: the larger, the fewer rows; the entries of one bucket are sorted in memory.
 BUCKET_BYTES = 8_000_000
 _LAST = np.iinfo(np.int64).max
+_ALL = 2**64 - 1
+#: Bytes of the second hash beside the bucket, and what makes its words' codes differ from the first's.
+SECOND_BYTES = 2
+_SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Ids with several texts are told to all tasks by their hash, of at most so many values.
 SLOTS = 1 << 17
 
 
-def buckets_for(docs: DataFrame) -> int:
-    """A power of two that grows with the size that Spark's plan states."""
+#: A larger size is none that Spark's plan knows; texts are measured then.
+_UNKNOWN = 1 << 55
+
+
+def buckets_for(docs: DataFrame, text_col: str = "text") -> int:
+    """A power of two that grows with the size that Spark's plan states or, where it doesn't know, with that of the texts."""
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return 1 << min(16, max(4, (max(1, size // BUCKET_BYTES) - 1).bit_length()))
+    if size > _UNKNOWN:
+        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return 1 << max(4, (max(1, size // BUCKET_BYTES) - 1).bit_length())
 
 
-def _windows(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text number and start of every window, in text order."""
+def _windows(texts: list[bytes], width: int, mask: int = _ALL) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First hash (its bits in ``mask``), second hash, text number and start of every window, in text order."""
+    none = np.zeros(0, np.int64)
     if not texts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none.view(np.uint64), none.view(np.uint64), none, none
     joined = b" ".join(texts)
     data = np.frombuffer(joined, np.uint8)
     starts, ends = words_of(data)
     sizes = np.array([len(x) for x in texts], np.int64) + 1
     edges = np.cumsum(sizes) - sizes
     text = np.searchsorted(edges, starts, "right") - 1
-    hashes = window_hashes(slice_hashes(data, starts, ends), width)
+    codes = slice_hashes(data, starts, ends)
+    hashes = window_hashes(codes, width) & np.uint64(mask)
     if not len(hashes):
-        return hashes, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return hashes, hashes, none, none
+    second = window_hashes(mix(codes ^ _SECOND), width)
     whole = text[: len(hashes)] == text[width - 1 :]
     first_word = np.searchsorted(text, np.arange(len(texts)))
     at = np.flatnonzero(whole)
-    return hashes[at], text[at], at - first_word[text[at]]
+    return hashes[at], second[at], text[at], at - first_word[text[at]]
 
 
-def _later(hashes: np.ndarray) -> np.ndarray:
-    """Whether an equal hash stands before, in an array in text order."""
+def _sorted(hashes: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order in which equal windows stand together, and which of them equal the one before in this order."""
     order = np.argsort(hashes, kind="stable")
+    alike = hashes[order[1:]] == hashes[order[:-1]]
+    if (alike & (second[order[1:]] != second[order[:-1]])).any():  # first hashes that collide: the second counts in the order as well
+        order = np.lexsort((second, hashes))
+        alike = (hashes[order[1:]] == hashes[order[:-1]]) & (second[order[1:]] == second[order[:-1]])
+    return order, np.append(np.zeros(min(1, len(order)), bool), alike)
+
+
+def _later(hashes: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Whether an equal window stands before, in arrays in text order."""
+    order, again = _sorted(hashes, second)
     same = np.zeros(len(hashes), bool)
-    same[order[1:]] = hashes[order[1:]] == hashes[order[:-1]]
+    same[order] = again
     return same
 
 
@@ -109,7 +133,7 @@ def _by_part(ids: np.ndarray, ties: np.ndarray, starts: np.ndarray, parts: int)
     return out
 
 
-def _pack(hashes: np.ndarray, ids: np.ndarray, ties: np.ndarray, starts: np.ndarray, digest_bytes: int) -> tuple[bytes, bytes, bytes, bytes]:
+def _pack(hashes: np.ndarray, second: np.ndarray, ids: np.ndarray, ties: np.ndarray, starts: np.ndarray, digest_bytes: int) -> tuple[bytes, bytes, bytes, bytes]:
     """Digests; the ids (as gaps) and ties with how many entries each has; the gaps between starts (one byte, 255: see the wide ones); wide gaps."""
     new = _changes(ids, ties)
     gaps = np.diff(starts, prepend=0)
@@ -117,32 +141,33 @@ def _pack(hashes: np.ndarray, ids: np.ndarray, ties: np.ndarray, starts: np.ndar
     wide = gaps >= 255
     heads = np.flatnonzero(new)
     table = np.stack([np.diff(ids[heads], prepend=0), ties[heads], np.diff(np.append(heads, len(ids)))]).astype("<i8")
-    digests = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - digest_bytes :]
+    digests = np.concatenate([hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - digest_bytes :], second.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - SECOND_BYTES :]], 1)
     return digests.tobytes(), zlib.compress(table.tobytes(), 1), np.where(wide, 255, gaps).astype(np.uint8).tobytes(), gaps[wide].astype("<u4").tobytes()
 
 
-def _unpack(digests: bytes, table: bytes, gaps: bytes, wide: bytes, digest_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(digests: bytes, table: bytes, gaps: bytes, wide: bytes, digest_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(gaps)
-    full = np.zeros((n, 8), np.uint8)
-    full[:, 8 - digest_bytes :] = np.frombuffer(digests, np.uint8).reshape(n, digest_bytes)
+    full, both = np.zeros((n, 8), np.uint8), np.frombuffer(digests, np.uint8).reshape(n, digest_bytes + SECOND_BYTES)
+    full[:, 8 - digest_bytes :] = both[:, :digest_bytes]
+    second = both[:, digest_bytes].astype(np.uint16) << np.uint16(8) | both[:, digest_bytes + 1]
     ids, ties, counts = np.frombuffer(zlib.decompress(table), "<i8").reshape(3, -1)
     ids = np.cumsum(ids)
     steps = np.frombuffer(gaps, np.uint8).astype(np.int64)
     steps[steps == 255] = np.frombuffer(wide, "<u4")
     sums = np.cumsum(steps)
     heads = np.cumsum(counts) - counts
-    return full.view(">u8").reshape(n).astype(np.uint64), np.repeat(ids, counts), np.repeat(ties, counts), sums - np.repeat(sums[heads] - steps[heads], counts)
+    return full.view(">u8").reshape(n).astype(np.uint64), second, np.repeat(ids, counts), np.repeat(ties, counts), sums - np.repeat(sums[heads] - steps[heads], counts)
 
 
 _PACKED = "bucket int, grp long, digests binary, ids binary, gaps binary, wide binary"
 
 
-def repeats(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, digest_bytes: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, digest_bytes: int = 7, mask: int = _ALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key (the id; for null the largest long), tie (see ``_keyed``), spans binary (pairs of unsigned 32-bit): the maximal intervals of words in windows that also start earlier; one row for each text that has any."""
-    return _repeats(_keyed(docs, id_col, text_col), width, buckets or buckets_for(docs), digest_bytes, text_col)
+    return _repeats(_keyed(docs, id_col, text_col), width, buckets or buckets_for(docs, text_col), digest_bytes, mask, text_col)
 
 
-def _repeats(keyed: DataFrame, width: int, buckets: int, digest_bytes: int, text_col: str) -> DataFrame:
+def _repeats(keyed: DataFrame, width: int, buckets: int, digest_bytes: int, mask: int, text_col: str) -> DataFrame:
     shift = np.uint64(64 - (buckets - 1).bit_length())
 
     def hashed(batches):
@@ -157,20 +182,20 @@ def _repeats(keyed: DataFrame, width: int, buckets: int, digest_bytes: int, text
             texts, keys, ties = texts_in(batch, text_col), keys[order], ties[order]
             texts = [texts[i] for i in order.tolist()]
             for a, b in groups(texts, GROUP_BYTES):
-                hashes, text, starts = _windows(texts[a:b], width)
+                hashes, second, text, starts = _windows(texts[a:b], width, mask)
                 own, tie = keys[a:b], ties[a:b]
-                later = _later(hashes)
+                later = _later(hashes, second)
                 out: list[tuple] = []
                 settled = np.flatnonzero(later)
                 if len(settled):
                     out = [(k, -1, b"", table, b"", wide) for k, table, wide in _by_part(own[text[settled]], tie[text[settled]], starts[settled], buckets)]
                 firsts = np.flatnonzero(~later)
-                bucket = (hashes[firsts] >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(firsts), np.int64)
+                bucket = (second[firsts] >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(firsts), np.int64)
                 by = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-                for k in np.flatnonzero(np.diff(edges)).tolist():
-                    at = firsts[by[edges[k] : edges[k + 1]]]
-                    out.append((k, grp, *_pack(hashes[at], own[text[at]], tie[text[at]], starts[at], digest_bytes)))
+                edges = np.flatnonzero(np.diff(bucket[by], prepend=-1, append=-1))
+                for k, begin, end in zip(bucket[by[edges[:-1]]].tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    at = firsts[by[begin:end]]
+                    out.append((k, grp, *_pack(hashes[at], second[at], own[text[at]], tie[text[at]], starts[at], digest_bytes)))
                 grp += 1
                 if out:
                     columns = list(zip(*out, strict=True))
@@ -188,19 +213,16 @@ def _repeats(keyed: DataFrame, width: int, buckets: int, digest_bytes: int, text
             if not parts:
                 return
             parts = sorted(parts, key=lambda p: p[0])
-            hashes, ids, ties, starts = (np.concatenate(x) for x in zip(*[p[1] for p in parts], strict=True))
-            order = np.argsort(hashes, kind="stable")
-            run = hashes[order]
-            again = np.zeros(len(run), bool)
-            again[1:] = run[1:] == run[:-1]
+            hashes, second, ids, ties, starts = (np.concatenate(x) for x in zip(*[p[1] for p in parts], strict=True))
+            order, again = _sorted(hashes, second)
             inside = again.copy()
             inside[:-1] |= again[1:]
             at = order[inside]  # entries of hashes that more than one group has
             if not len(at):
                 return
-            at = at[np.lexsort((starts[at], ties[at], ids[at], hashes[at]))]
+            at = at[np.lexsort((starts[at], ties[at], ids[at], second[at], hashes[at]))]
             first = np.ones(len(at), bool)
-            first[1:] = hashes[at[1:]] != hashes[at[:-1]]
+            first[1:] = (hashes[at[1:]] != hashes[at[:-1]]) | (second[at[1:]] != second[at[:-1]])
             head = at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
             at = at[(ids[at] != ids[head]) | (ties[at] != ties[head]) | (starts[at] != starts[head])]
             if len(at):
@@ -268,7 +290,7 @@ def digests(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_co
 def _applied(docs: DataFrame, width: int, id_col: str, text_col: str, digest: bool, options: dict) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = _keyed(docs, id_col, text_col)
-    found = _repeats(keyed, width, options.get("buckets") or buckets_for(docs), options.get("digest_bytes", 7), text_col)
+    found = _repeats(keyed, width, options.get("buckets") or buckets_for(docs, text_col), options.get("digest_bytes", 7), options.get("mask", _ALL), text_col)
     # The window deals and sorts rows as the join does. Which of equal rows is the first makes no difference.
     copy = F.row_number().over(Window.partitionBy("_key", "_tie").orderBy("_key"))
     rows = keyed.withColumn("_again", (F.col("_tie") > 0) & (copy > 1))

@@ -107,5 +107,24 @@ def test_packing_of_two_texts_under_one_id():
     import numpy as np
 
     ids, ties, starts = np.array([5, 5, 5, 5]), np.array([-9, -9, -3, -3]), np.array([10, 310, 5, 405])
-    packed = substrings._pack(np.arange(4, dtype=np.uint64), ids, ties, starts, 8)
-    assert [x.tolist() for x in substrings._unpack(*packed, 8)] == [[0, 1, 2, 3], ids.tolist(), ties.tolist(), starts.tolist()]
+    packed = substrings._pack(np.arange(4, dtype=np.uint64), np.arange(300, 304, dtype=np.uint64), ids, ties, starts, 8)
+    assert [x.tolist() for x in substrings._unpack(*packed, 8)] == [[0, 1, 2, 3], [300, 301, 302, 303], ids.tolist(), ties.tolist(), starts.tolist()]
+
+
+def test_first_hashes_that_collide_remove_nothing(docs):
+    """With 16 bits of the first hash a thousand pairs of windows collide; the second tells them apart, within groups and across."""
+    was = substrings.GROUP_BYTES
+    for parts, group in ((1, was), (6, 900)):
+        rows = made(7, 120)
+        substrings.GROUP_BYTES = group
+        try:
+            got = {r.doc_id: (r.n_removed, r.kept) for r in substrings.removed(docs(rows).repartition(parts), buckets=16, mask=0xFFFF).collect()}
+        finally:
+            substrings.GROUP_BYTES = was
+        assert got == {i: (b, c) for i, (_, b, c) in brute(rows, 20).items()}
+
+
+def test_buckets_have_no_cap(docs, monkeypatch):
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 1)
+    assert substrings.buckets_for(docs([(1, "x" * 300_000), (2, None)])) == 1 << 19
+    assert substrings.buckets_for(docs([])) == 16
