@@ -65,8 +65,7 @@ def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = tool_calls.turns_as_calls(table(spark, sf_dir, "conversations"))
-    return tool_calls.linked(calls, results, tool_calls.TURN_SCHEMAS)
+    return tool_calls.linked_turns(table(spark, sf_dir, "conversations"))
 
 
 @_query

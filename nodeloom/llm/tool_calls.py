@@ -1,15 +1,17 @@
 """Tool-call linking: calls meet their results by identifier, in topological order, validated and as canonical JSON.
 
-Calls and results are hash-joined on (conversation, identifier); results of one identifier are first
-reduced to one, so no pairs multiply. A call's level is the longest chain of dependencies below it,
+Calls and results are hash-joined on (conversation, identifier); of an identifier's results the least
+text is joined to its calls and each other one is a row of its own (``repeated``), so none is lost and no pairs multiply. A call's level is the longest chain of dependencies below it,
 found in rounds: each places the calls that wait for none unplaced, by anti joins over all
 conversations at once, and writes what is left to the shared folder. No conversation is gathered in a task.
 
 Defined cases: calls of one identifier are rows of their own, a dependency waits for all of them; of
-several results the least text is taken and their number told; a result without a call is an
+several results the least text (null last) is taken and their number told; a result without a call is an
 ``orphan``, a call without a result ``unanswered``; unknown dependencies are told and don't count;
-calls on a cycle have level -1; null identifiers link with nothing; null or broken arguments are
-problems of validation; texts of any length are parsed whole; an empty table gives an empty one; only the named columns are read.
+calls on a cycle have level -1; null identifiers link with nothing, each such result is an orphan of its own; arguments
+that are null or no JSON (broken, NaN and infinite numbers, lone surrogates, nested deeper than Python
+parses) are a problem of validation and stay as they came; turns of unknown or null roles have a status of their own;
+texts of any length are parsed whole; an empty table gives an empty one; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -65,7 +67,7 @@ def problems(value: object, schema: dict, at: str = "$") -> list[str]:
 
 
 def canonical(value: object) -> str:
-    """Sorted keys, no spaces, whole floats as integers, characters as they are."""
+    """Sorted keys, no spaces, whole floats as integers, characters as they are. ValueError for what JSON or UTF-8 can't say."""
 
     def plain(x):
         if isinstance(x, dict):
@@ -74,7 +76,28 @@ def canonical(value: object) -> str:
             return [plain(v) for v in x]
         return int(x) if isinstance(x, float) and x.is_integer() else x
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    text = json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    text.encode()
+    return text
+
+
+def _refused(name: str):
+    raise ValueError(name)
+
+
+def _finite(text: str) -> float:
+    x = float(text)
+    return x if math.isfinite(x) else _refused(text)
+
+
+def parsed(arguments: str | None, schema: dict | None) -> tuple[object, list[str]]:
+    """The arguments and what is wrong with them; no text makes this fail."""
+    try:
+        value = json.loads(arguments or "", parse_constant=_refused, parse_float=_finite)
+        canonical(value)
+        return value, ["$: no schema for this name"] if schema is None else problems(value, schema)
+    except (ValueError, RecursionError):
+        return arguments, ["$: not JSON"]
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -105,11 +128,20 @@ def levels(calls: DataFrame) -> DataFrame:
 
 def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """From calls (conv, id, name, arguments, needs) and results (conv, id, content): conv, id, status, level,
-    n_results, valid, problems, json of each call and of each orphan result."""
-    one = results.groupBy("conv", "id").agg(F.min("content").alias("content"), F.count(F.lit(1)).alias("n_results"))
-    placed = calls.join(levels(calls), ["conv", "id"], "left").withColumn("is_call", F.lit(True))
+    n_results, valid, problems, json of each call, of each orphan result, and of each further result of an identifier."""
+    named = F.col("conv").isNotNull() & F.col("id").isNotNull()
+    texts = results.filter(named).groupBy("conv", "id", "content").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("content").isNull().alias("is_null"), F.col("content").alias("content"))
+    one = texts.groupBy("conv", "id").agg(F.min(order).alias("least"), F.sum("n").alias("n_results")).select("conv", "id", F.col("least.content").alias("content"), "n_results")
+    placed = calls.join(levels(calls), ["conv", "id"], "left").withColumn("what", F.lit("call"))
     # Null identifiers meet nothing in this join, and stay as they are on either side.
-    both = placed.join(one, ["conv", "id"], "full_outer").select("conv", "id", "name", "arguments", "needs", "level", "unknown", "is_call", "content", F.coalesce("n_results", F.lit(0)).alias("n_results"))
+    columns = ["conv", "id", "name", "arguments", "needs", "level", "unknown", F.coalesce("what", F.lit("orphan")).alias("what"), "content", F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results")]
+    both = placed.join(one, ["conv", "id"], "full_outer").select(*columns)
+    least = one.select("conv", "id", F.col("content").alias("least"), F.lit(True).alias("known"))
+    again = texts.join(least, ["conv", "id"]).withColumn("more", F.col("n") - F.col("content").eqNullSafe(F.col("least")).cast("long")).filter("more > 0")
+    further = again.select("conv", "id", "content", F.explode(F.sequence(F.lit(1).cast("long"), F.col("more"))), F.lit("repeated").alias("what")).drop("col")
+    alone = results.filter(~named).select("conv", "id", "content", F.lit("orphan").alias("what"))
+    both = both.unionByName(further.union(alone.select("conv", "id", "content", "what")).withColumn("n_results", F.lit(1).cast("long")), allowMissingColumns=True)
 
     def run(batches):
         import pyarrow as pa
@@ -117,15 +149,10 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Da
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                if not r["is_call"]:
-                    out.append(("orphan", None, [], canonical({"id": r["id"], "result": r["content"]})))
+                if r["what"] != "call":
+                    out.append((r["what"], None, [], canonical({"id": r["id"], "result": r["content"]})))
                     continue
-                try:
-                    arguments, found = json.loads(r["arguments"] or ""), None
-                except ValueError:
-                    arguments, found = r["arguments"], ["$: not JSON"]
-                if found is None:
-                    found = problems(arguments, schemas[r["name"]]) if r["name"] in schemas else ["$: no schema for this name"]
+                arguments, found = parsed(r["arguments"], schemas.get(r["name"]))
                 found += [f"unknown dependency {x}" for x in r["unknown"] or []]
                 value = {"id": r["id"], "name": r["name"], "arguments": arguments, "depends_on": sorted(x for x in r["needs"] or [] if x is not None), "result": r["content"]}
                 out.append(("linked" if r["n_results"] else "unanswered", not found, found, canonical(value)))
@@ -156,3 +183,14 @@ def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     answered = conversations.filter(F.col("role") == "assistant").select(F.col("conv_id").alias("conv"), (F.col("turn") - 1).cast("string").alias("id"), F.col("text").alias("content"))
     return asked, answered
+
+
+def linked_turns(conversations: DataFrame) -> DataFrame:
+    """Every turn's row: calls with their results, orphans, and turns of roles that are neither (``unknown role``)."""
+    known = F.coalesce(F.col("role").isin("user", "system", "assistant"), F.lit(False))
+    out = linked(*turns_as_calls(conversations), TURN_SCHEMAS)
+    others = conversations.filter(~known).select(
+        F.col("conv_id").alias("conv"), F.col("turn").cast("string").alias("id"), F.lit("unknown role").alias("status"), F.lit(None).cast("int").alias("level"), F.lit(0).cast("long").alias("n_results"),
+        F.lit(None).cast("boolean").alias("valid"), F.array().cast("array<string>").alias("problems"), F.to_json(F.struct(F.col("turn").cast("string").alias("id"), F.col("text").alias("result")), {"ignoreNullFields": "false"}).alias("json"),
+    )
+    return out.union(others)
