@@ -301,6 +301,9 @@ def links(docs: DataFrame, reps: DataFrame, width: int, at_least: int, id_col: s
     sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     members = members.join(sizes, "comp").join(reps.select("cls", "doc", "digest"), "cls")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("doc"), _digest(text_col).alias("digest"), F.col(text_col).alias("text"))
+    # Rows without an id may repeat a text any number of times; one of each is enough. (Of ids, each has few rows.)
+    nameless = texts.filter(F.col("doc") == _NULL).groupBy("doc", "digest").agg(F.any_value("text").alias("text"))
+    texts = texts.filter(F.col("doc") != _NULL).union(nameless)
     members = stored(members.join(texts, ["doc", "digest"]).drop("doc", "digest"), "members")
     names = ["cls", "role", "text"]
     parts = task_count(docs.sparkSession, members.count(), TASK_TEXTS)

@@ -1,7 +1,11 @@
 """Connected components by alternating large-star and small-star steps, all in DataFrames.
 
-Minima are aggregated before the shuffle and joined back, so a node of any degree is no hot group.
-Each round is written to the shared folder: lineage stays short and lost executors cost one round.
+Minima are aggregated before the shuffle. Where they are joined back to the links, those of hubs (nodes with
+more than ``HUB`` links, or more than one in HUBS of all links) are broadcast, at most 2 x HUBS of them, so no
+task gets all of a hub's links. Each round is written to the shared folder: lineage stays short and lost
+executors cost one round.
+
+Defined cases: links of a node to itself say nothing; repeated links count once; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -13,19 +17,28 @@ from nodeloom.llm.common import Scratch, stored, task_count
 
 #: Links for each task.
 ROWS = 200_000
+HUB, HUBS = 1000, 20_000
+
+
+def _with_least(links: DataFrame, n: int) -> DataFrame:
+    """u, v, m: the least v of u's links; n: the number of links, or more."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
+    is_hub = F.col("_n") > max(HUB, n // HUBS)
+    hubs = least.filter(is_hub).select("u", "m")
+    few = links.join(F.broadcast(hubs), "u").select("u", "v", "m")
+    others = links.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.filter(~is_hub).select("u", "m"), "u")
+    return few.union(others.select("u", "v", "m"))
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, n: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both, 2 * n).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    moved = _with_least(down, n).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(down.groupBy("u").agg(F.min("v").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,5 +53,5 @@ def components(edges: DataFrame) -> DataFrame:
                 scratch.keep(edges)
                 return edges
             state, before = sums, edges
-            edges = stored(_small(_large(edges)).coalesce(task_count(spark, sums[0], ROWS)), "links")
+            edges = stored(_small(_large(edges, sums[0]), 2 * sums[0]).coalesce(task_count(spark, sums[0], ROWS)), "links")
             scratch.drop(before)

@@ -104,3 +104,31 @@ def test_one_of_each_judges_rows(docs):
     assert sorted((str(i), str(x)) for i, x in left if not x or not x.strip()) == sorted((str(i), str(x)) for i, x in rows[-5:])
     judged = {(r.doc_id, r.component_id) for r in C.grouped(frame).collect() if r.kept}
     assert {(i, i) for i, _ in left if i != 2**63 - 1} <= judged
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    """Stars, chains and their bridges; hubs are broadcast, the others shuffled."""
+    from nodeloom.llm import components as K
+
+    monkeypatch.setattr(K, "HUB", 5)
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        links = [(i, i + 1) for i in range(0, 40)] + [(100, x) for x in range(101, 190)] + [(x, 500) for x in range(480, 500)] + [(7, 7), (7, 8), (8, 7), (150, 490)]
+        links += [(rng.randint(1000, 1300), rng.randint(1000, 1300)) for _ in range(150)]
+        names = list({x for e in links for x in e})
+        shuffled = dict(zip(names, rng.sample(names, len(names)), strict=True))
+        links = [(shuffled[a], shuffled[b]) for a, b in links]
+        root = {x: x for x in names}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+        want = {(x, find(x)) for x in names if find(x) != x}
+        got = [tuple(r) for r in K.components(spark.createDataFrame(links, "u long, v long")).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert K.components(spark.createDataFrame([], "u long, v long")).count() == 0
