@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star steps, all in DataFrames.
 
 Minima are aggregated before the shuffle. Where they are joined back to the links, those of hubs (nodes with
-more than ``HUB`` links, or more than one in HUBS of all links) are broadcast, at most 2 x HUBS of them, so no
-task gets all of a hub's links. Each round is written to the shared folder: lineage stays short and lost
+more than ``HUB`` links, and more than one in HUBS of all links; at most 2 x HUBS nodes, so their parts are broadcast)
+are dealt in parts, so no task gets all of a hub's links. Each round is written to the shared folder: lineage stays short and lost
 executors cost one round.
 
 Defined cases: links of a node to itself say nothing; repeated links count once; an empty table gives an empty one.
@@ -22,12 +22,13 @@ HUB, HUBS = 1000, 20_000
 
 def _with_least(links: DataFrame, n: int) -> DataFrame:
     """u, v, m: the least v of u's links; n: the number of links, or more."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
-    is_hub = F.col("_n") > max(HUB, n // HUBS)
-    hubs = least.filter(is_hub).select("u", "m")
-    few = links.join(F.broadcast(hubs), "u").select("u", "v", "m")
-    others = links.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.filter(~is_hub).select("u", "m"), "u")
-    return few.union(others.select("u", "v", "m"))
+    limit = max(HUB, n // HUBS)
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("_parts"))
+    hubs = least.filter("_parts > 1").select("u", "_parts")
+    part = F.coalesce(F.pmod(F.xxhash64("v"), F.col("_parts")).cast("int"), F.lit(0)).alias("_part")
+    dealt = links.join(F.broadcast(hubs), "u", "left").select("u", "v", part)
+    each = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    return dealt.join(each, ["u", "_part"]).select("u", "v", "m")
 
 
 def _large(edges: DataFrame, n: int) -> DataFrame:
