@@ -54,5 +54,9 @@ def components(edges: DataFrame) -> DataFrame:
                 scratch.keep(edges)
                 return edges
             state, before = sums, edges
-            edges = stored(_small(_large(edges, sums[0]), 2 * sums[0]).coalesce(task_count(spark, sums[0], ROWS)), "links")
+            tasks = task_count(spark, sums[0], ROWS)
+            # Small stars read the large ones' links three times, so these are made once and written.
+            middle = stored(_large(edges, sums[0]).coalesce(tasks), "links")
+            edges = stored(_small(middle, sums[0]).coalesce(tasks), "links")
+            scratch.drop(middle)
             scratch.drop(before)
