@@ -52,9 +52,9 @@ def spanning_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"""
 SELECT dst_id AS parent_id, dst_name AS parent_name, count(*) AS n_children, string_agg(src_id, ',' ORDER BY src_id) AS children
-FROM ({_EDGES}) WHERE src_name <> 'orders' GROUP BY 1, 2""")
+FROM ({_EDGES}) GROUP BY 1, 2""")
 def links_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spanning.adjacency(star.edges(spark, sf_dir).filter("src_name != 'orders'"))
+    rows = spanning.adjacency(star.edges(spark, sf_dir))
     by_id = F.array_sort(F.transform("children", lambda c: c["id"]))
     return rows.select("parent_id", "parent_name", F.size("children").cast("long").alias("n_children"), F.array_join(by_id, ",").alias("children"))
 
@@ -74,13 +74,17 @@ def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-SELECT 'region_' || n_regionkey || ',' || 'nation_' || n_nationkey || ',' || 'supplier_' || s_suppkey AS members FROM nation JOIN supplier ON s_nationkey = n_nationkey
-UNION ALL SELECT 'region_' || n_regionkey || ',' || 'nation_' || n_nationkey FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey)
+SELECT 'region_' || n_regionkey || ',nation_' || n_nationkey || ',supplier_' || s_suppkey AS members FROM nation JOIN supplier ON s_nationkey = n_nationkey
+UNION ALL SELECT 'region_' || n_regionkey || ',nation_' || n_nationkey || ',customer_' || c_custkey || coalesce(',orders_' || o_orderkey, '') FROM nation JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey
+UNION ALL SELECT 'region_' || n_regionkey || ',nation_' || n_nationkey FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey) AND NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey)
 UNION ALL SELECT 'region_' || r_regionkey FROM region WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_regionkey = r_regionkey)""")
 def antichain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, s, r = (table(spark, sf_dir, x) for x in ("nation", "supplier", "region"))
+    n, s, r, c, o = (table(spark, sf_dir, x) for x in ("nation", "supplier", "region", "customer", "orders"))
     region, nation = star.node_id("region", "n_regionkey"), star.node_id("nation", "n_nationkey")
     sets = n.join(s, F.col("s_nationkey") == F.col("n_nationkey")).select(F.array(region, nation, star.node_id("supplier", "s_suppkey")).alias("set"))
+    customers, own = n.join(c, F.col("c_nationkey") == F.col("n_nationkey")), star.node_id("customer", "c_custkey")
+    ordered = customers.join(o, F.col("o_custkey") == F.col("c_custkey")).select(F.array(region, nation, own, star.node_id("orders", "o_orderkey")))
+    sets = sets.union(customers.select(F.array(region, nation, own))).union(ordered)
     sets = sets.union(n.select(F.array(region, nation))).union(r.select(F.array(star.node_id("region", "r_regionkey"))))
     return spanning.antichain(sets, "set").select(F.array_join("set", ",").alias("members"))
 
@@ -136,10 +140,15 @@ def show_schema_node(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""SELECT 'nation_' || n_nationkey AS id, 'nation' AS name, json_object('n_name', n_name)::VARCHAR AS object, 'region_' || n_regionkey AS dst_id FROM nation
-UNION ALL SELECT 'region_' || r_regionkey, 'region', json_object('r_name', r_name)::VARCHAR, NULL FROM region""")
+UNION ALL SELECT 'region_' || r_regionkey, 'region', json_object('r_name', r_name)::VARCHAR, NULL FROM region
+UNION ALL SELECT 'customer_' || c_custkey, 'customer', json_object('c_mktsegment', c_mktsegment)::VARCHAR, 'nation_' || c_nationkey FROM customer
+UNION ALL SELECT 'supplier_' || s_suppkey, 'supplier', json_object('s_name', s_name)::VARCHAR, 'nation_' || s_nationkey FROM supplier
+UNION ALL SELECT 'orders_' || o_orderkey, 'orders', json_object('o_orderstatus', o_orderstatus)::VARCHAR, 'customer_' || o_custkey FROM orders""")
 def entity_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = star.graph(spark, sf_dir).entities.filter(F.col("name").isin("nation", "region"))
-    slim = F.to_json(F.when(F.col("name") == "nation", F.to_variant_object(F.struct(F.variant_get("object", "$.n_name", "string").alias("n_name")))).otherwise(F.col("object")))
+    rows = star.graph(spark, sf_dir).entities
+    shown = {"region": "r_name", "nation": "n_name", "customer": "c_mktsegment", "supplier": "s_name", "orders": "o_orderstatus"}
+    one = [F.when(F.col("name") == n, F.to_json(F.struct(F.variant_get("object", f"$.{f}", "string").alias(f)))) for n, f in shown.items()]
+    slim = F.coalesce(*one)
     return rows.select("id", "name", slim.alias("object"), F.get("relations", 0)["dst_id"].alias("dst_id"))
 
 
@@ -285,15 +294,19 @@ def gremlin_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(export.gremlin_header(star.catalog(), "orders"))), "position int, name string")
 
 
-@_query("SELECT 'event_' || event_id AS src_id, 'user_' || user_id AS dst_id FROM events WHERE user_id IS NULL OR user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey <= 100)")
+# The graph has no users at all, so every event's edge dangles, and no other.
+@_query("SELECT 'event_' || event_id AS src_id, 'user_' || user_id AS dst_id FROM events")
 def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(star.node_id("event", "event_id").alias("src_id"), F.lit("event").alias("src_name"), star.node_id("user", "user_id").alias("dst_id"), F.lit("user").alias("dst_name"))
-    users = table(spark, sf_dir, "customer").filter("c_custkey <= 100").select(star.node_id("user", "c_custkey").alias("id"), F.lit("user").alias("name"))
-    return export.dangling_edges(events, users).select("src_id", "dst_id")
+    edges = star.edges(spark, sf_dir).drop("place").unionByName(events)
+    return export.dangling_edges(edges, star.nodes(spark, sf_dir)).select("src_id", "dst_id")
 
 
-@_query("SELECT 'nation_' || n_nationkey AS src_id, '{\"region\":\"region_' || n_regionkey || '\",\"nation\":\"nation_' || n_nationkey || '\"}' AS document FROM nation WHERE n_regionkey IS NOT NULL")
+@_query("""
+SELECT '{"region":"region_' || r.k || '"' || coalesce(',"nation":"nation_' || n_nationkey || '"', '') || coalesce(',"customer":"customer_' || c_custkey || '"', '') || coalesce(',"supplier":"supplier_' || s_suppkey || '"', '') || coalesce(',"orders":"orders_' || o_orderkey || '"', '') || '}' AS document
+FROM (SELECT DISTINCT n_regionkey AS k FROM nation WHERE n_regionkey IS NOT NULL) r
+LEFT JOIN nation n ON n.n_regionkey = r.k LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey
+LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey LEFT JOIN orders o ON o.o_custkey = c.c_custkey""")
 def spanning_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = star.edges(spark, sf_dir).filter("src_name = 'nation'")
-    docs = spanning.documents(spanning.spanning_table(edges, "region", {("region", "nation")}))
-    return docs.select(F.get_json_object("document", "$.nation").alias("src_id"), "document")
+    rows = spanning.spanning_table(star.edges(spark, sf_dir), "region", star.TYPE_LINKS, unique=True)
+    return spanning.documents(rows).select("document")

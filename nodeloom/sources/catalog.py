@@ -311,7 +311,7 @@ def _branches(prop: dict, owner: str, name: str, required: bool) -> list[Any] |
             return [array] if kind == "array" and required else ["null", array]
         if isinstance(kind, list):
             if "number" in kind:
-                return ["double"]
+                return ["null", "double"]
             return [AVRO.get(k, k) for k in reversed(kind)]
         return [AVRO.get(kind, kind)]
     if "enum" in prop:
@@ -339,8 +339,8 @@ def _field(owner: str, name: str, prop: dict, required: bool) -> Field | None:
         if k not in distinct:
             distinct.append(k)
     solid = [k for k in distinct if k != "null"]
-    optional = not required or "null" in distinct
-    branches = solid if not optional else [*solid, "null"] if default is not MISSING else ["null", *solid]
+    # Every field may be null, required ones as well; the default is of the first branch.
+    branches = [*solid, "null"] if default is not MISSING else ["null", *solid]
     return Field(name, tuple(branches), default, prop.get("description", "") or "")
 
 

@@ -40,8 +40,8 @@ def test_dictionary():
     state = s.field("state")
     assert [b["symbols"] for b in state.enums] == [["validated", "released"], ["uploading", "live"]] and state.branches[-1] == "null" and state.default == "validated"
     assert s.field("created_datetime").branches == ("null", "string")
-    assert s.field("size").branches == ("long",) and s.field("weight").branches == ("null", "double")
-    assert s.field("tags").branches == ({"type": "array", "items": "long"},)
+    assert s.field("size").branches == ("null", "long") and s.field("weight").branches == ("null", "double")
+    assert s.field("tags").branches == ("null", {"type": "array", "items": "long"})
     assert s.field("kinds").is_enum and cat.is_enum("sample", "color") and not cat.is_enum("sample", "nope")
     with pytest.raises(KeyError):
         cat.is_enum("nope", "color")

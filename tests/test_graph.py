@@ -247,3 +247,31 @@ def test_reachable_is_whole_or_an_error(spark):
     assert spanning.reachable(edges, start, max_rounds=3).count() == 4
     with pytest.raises(ValueError, match="2 rounds"):
         spanning.reachable(edges, start, max_rounds=2)
+
+
+def test_null_in_a_required_field_is_written_and_read(spark, tmp_path):
+    from nodeloom.operators.graph import Graph, entity
+    from nodeloom.sources.catalog import from_dictionary
+    from nodeloom.sources.container import read_container, write_container
+
+    node = {"id": "visit", "required": ["size", "tags", "state"], "properties": {"size": {"type": "number"}, "tags": {"type": "array", "items": {"type": "string"}}, "state": {"enum": ["a b", "c"]}, "weight": {"type": ["number", "null"]}}}
+    catalog = from_dictionary({"visit.yaml": node})
+    rows = spark.createDataFrame([("1", 2.0, ["x"], "a b", 1.5), ("2", None, None, None, None)], "k string, size double, tags array<string>, state string, weight double")
+    graph = Graph(rows.select(*entity(rows["k"], "visit", ["size", "tags", "state", "weight"])), catalog)
+    path = str(tmp_path / "v.avro")
+    assert write_container(graph, path) == 2
+    got = {r.id: (r.size, r.tags, r.state, r.weight) for r in read_container(spark, path).node("visit").collect()}
+    assert got == {"1": (2.0, ["x"], "a b", 1.5), "2": (None, None, None, None)}
+
+
+def test_antichain_meets_by_the_rarest_member(spark):
+    import itertools
+    import random
+
+    from nodeloom.operators import spanning
+
+    rng = random.Random(2)
+    sets = [["root", *rng.sample("abcdefgh", rng.randint(0, 5))] for _ in range(120)] + [["root"], ["z"]]
+    got = sorted(sorted(set(r.s)) for r in spanning.antichain(spark.createDataFrame([(s,) for s in sets], "s array<string>"), "s").collect())
+    assert got == sorted(sorted(set(s)) for s in sets if not any(set(s) < set(t) for t in sets))
+    assert len(list(itertools.chain(*got))) > 0
