@@ -28,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nodeloom.llm.common import stored
 from nodeloom.llm.quality import STOP_WORDS
 
 WIDTH = 8
@@ -209,7 +210,9 @@ def _leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_i
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least_share: float = LEAST_SHARE) -> DataFrame:
-    """docs without the contaminated rows; all their columns."""
+    """docs without the contaminated rows; all their columns. Their keys stay in the shared folder, or go with the open Scratch."""
     gone = _leaks(docs, items, id_col, text_col, item_id, item_text, least_share).select(F.col("_id").alias("_gone"), F.col("_digest").alias("_gone_digest")).distinct()
+    # Written, so that its size is known: a small one is broadcast and no text is shuffled.
+    gone = stored(gone, "leaks")
     same = docs[id_col].eqNullSafe(gone["_gone"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == gone["_gone_digest"])
     return docs.join(gone, same, "left_anti")
