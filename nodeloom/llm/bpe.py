@@ -27,9 +27,9 @@ from nodeloom.llm.common import ragged, slice_hashes, texts_in
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Texts are scanned in groups of about so many bytes; a longer text is a group of its own.
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 500_000
 #: The cache of merged slices is emptied beyond so many.
-CACHE_SLICES = 400_000
+CACHE_SLICES = 200_000
 #: Slices up to this length are merged side by side, longer ones each with a heap.
 SIDE_BY_SIDE = 48
 #: Stands for the rank of two neighbours that don't merge.
