@@ -70,5 +70,5 @@ def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = separators.documents(separators.blocks_of_texts(table(spark, sf_dir, "documents")))
+    found = separators.counted(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_tokens", "terminated")
