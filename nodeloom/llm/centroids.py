@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import mix
+from nodeloom.llm.common import mix, released
 
 DIMENSIONS = 1 << 13
 CENTROIDS = 4
@@ -175,4 +175,4 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     schema = docs.select(*[F.col(c) for c in out]).schema
     for name, kind in (("lang_pred", "string"), ("score", "double"), ("rejected", "boolean")):
         schema = schema.add(name, kind)
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(lambda batches: released(run(batches)), schema)

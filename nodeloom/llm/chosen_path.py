@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import Scratch, mix, ragged, slice_hashes, stored, task_count, texts_in, window_hashes, words_of
+from nodeloom.llm.common import Scratch, mix, ragged, released, slice_hashes, stored, task_count, texts_in, window_hashes, words_of
 from nodeloom.llm.components import components
 
 TREES, DEPTH = 16, 6
@@ -114,7 +114,7 @@ def features(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_digest"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc", "digest", "n", "cls", "sketch", "mins"])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col, _digest(text_col).alias("_digest")).mapInArrow(run, "doc long, digest long, n long, cls long, sketch binary, mins binary")
+    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col, _digest(text_col).alias("_digest")).mapInArrow(lambda batches: released(run(batches)), "doc long, digest long, n long, cls long, sketch binary, mins binary")
 
 
 def _branch(node: np.ndarray, tree: np.ndarray, cls: np.ndarray, mins: np.ndarray, row: np.ndarray, level: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,7 +176,7 @@ def _in_groups(df: DataFrame, by: str, names: list[str], work, schema: str, part
             yield put(out)
 
     dealt = df.select(by, *names).repartition(by)
-    return (dealt.coalesce(parts) if parts else dealt).sortWithinPartitions(by).mapInArrow(run, schema)
+    return (dealt.coalesce(parts) if parts else dealt).sortWithinPartitions(by).mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def _exhaustive(threshold: float):

@@ -17,8 +17,14 @@ BASE_INV = pow(BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
 
 
+#: Bytes of an Arrow batch, unless the application was started with a bound of its own.
+ARROW_BYTES = "4m"
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver did (a cluster would use --py-files)."""
+    """Let Python workers import this package from where the driver did (a cluster would use --py-files), and get whole texts in batches bounded in bytes."""
+    if not spark.sparkContext.getConf().contains("spark.sql.execution.arrow.maxBytesPerBatch"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
@@ -174,3 +180,15 @@ def texts_in(batch, column: str) -> list[bytes]:
     import pyarrow as pa
 
     return [x or b"" for x in batch.column(column).cast(pa.large_binary()).to_pylist()]
+
+
+def released(batches):
+    """The batches; when they end, memory that Arrow and the C library keep goes back to the system, as workers live on between stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
