@@ -275,3 +275,44 @@ def test_antichain_meets_by_the_rarest_member(spark):
     got = sorted(sorted(set(r.s)) for r in spanning.antichain(spark.createDataFrame([(s,) for s in sets], "s array<string>"), "s").collect())
     assert got == sorted(sorted(set(s)) for s in sets if not any(set(s) < set(t) for t in sets))
     assert len(list(itertools.chain(*got))) > 0
+
+
+TREE = {"A": "BC", "B": "DE", "C": "F", "F": "GH"}
+
+
+@pytest.mark.parametrize("small", [True, False])
+@pytest.mark.parametrize("seed", range(2))
+def test_branches_equal_brute_force_in_any_form(spark, monkeypatch, seed, small):
+    """Nested branches, broadcast or dealt in parts, in arrays of a few ids, with edges given twice."""
+    rng = random.Random(seed)
+    children = {}
+    for p, cs in TREE.items():
+        for i in range(3):
+            for c in cs:
+                for j in rng.sample(range(4), rng.randint(0, 3)):
+                    children.setdefault((f"{p}{i}", p), []).append((f"{c}{j}", c))
+    monkeypatch.setattr(spanning, "PACK", 1)
+    monkeypatch.setattr(spanning, "ROWS_A_TASK", 2)
+    monkeypatch.setattr(spanning, "BROADCAST_ROWS", 1000 if small else 0)
+    edges = edges_of(spark, children)
+    want = sorted(sorted(s) for root in sorted(p for p in children if p[1] == "A") for s in brute(root, children))
+    assert as_sets(spanning.spanning_table(edges.union(edges), "A"), "A") == want
+
+
+def test_products_are_made_last_and_not_shuffled(spark):
+    """Rows times 2,000 siblings: what is shuffled or sorted grows with the edges, not with their product."""
+    def links(child, parent, at):
+        return spark.range(2000).select(F.concat(F.lit(child), "id").alias("src_id"), F.lit(child).alias("src_name"), at.alias("dst_id"), F.lit(parent).alias("dst_name"))
+
+    edges = links("B", "A", F.lit("a")).union(links("D", "A", F.lit("a"))).union(links("E", "B", F.concat(F.lit("B"), "id")))
+    table = spanning.spanning_table(edges, "A", {("A", "B"), ("A", "D"), ("B", "E")}, unique=True)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "Generate inline" in plan and not any(x in plan[: plan.index("Generate inline")] for x in ("Exchange", "Sort", "Join"))
+    assert table.rdd.getNumPartitions() >= 4 and table.columns == ["A", "B", "D", "E"]
+    assert table.agg(F.count("*"), F.countDistinct("D", "E")).first()[:] == (4_000_000, 4_000_000)
+
+
+def test_a_child_without_an_id_is_a_row_of_nulls(spark):
+    edges = spark.createDataFrame([("b", "B", "a", "A"), ("d", "D", "a", "A"), (None, "D", "a", "A")], "src_id string, src_name string, dst_id string, dst_name string")
+    got = {tuple(r) for r in spanning.spanning_table(edges, "A", {("A", "B"), ("A", "D")}).collect()}
+    assert got == {("a", "b", "d"), ("a", "b", None)}
