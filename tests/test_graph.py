@@ -316,3 +316,23 @@ def test_a_child_without_an_id_is_a_row_of_nulls(spark):
     edges = spark.createDataFrame([("b", "B", "a", "A"), ("d", "D", "a", "A"), (None, "D", "a", "A")], "src_id string, src_name string, dst_id string, dst_name string")
     got = {tuple(r) for r in spanning.spanning_table(edges, "A", {("A", "B"), ("A", "D")}).collect()}
     assert got == {("a", "b", "d"), ("a", "b", None)}
+
+
+@pytest.mark.parametrize("cyclic", [False, True])
+def test_document_texts_are_those_of_documents(spark, cyclic):
+    ids = ['"', "\\", "{x}", "}", "{", ",", "é😀", "\n\t\x01", "", "</a>", "null"]
+    edges = [(b, "B", a, 'A "1"') for a in ids for b in (a, "b")] + [(None, "B", "}", 'A "1"')] + [(d, "D}", a, 'A "1"') for a in ids[:4] for d in ids] + [(e, "E", b, "B") for b in ids[3:] for e in ids[:3]]
+    edges = spark.createDataFrame(edges + [("x", "B", "E", "E")] * cyclic, "src_id string, src_name string, dst_id string, dst_name string")
+    want = sorted(r.document for r in spanning.documents(spanning.spanning_table(edges, 'A "1"')).collect())
+    assert sorted(r.document for r in spanning.document_texts(edges, 'A "1"').collect()) == want and len(want) > 40
+
+
+def test_documents_query_writes_json_before_rows_multiply(spark):
+    """Members of the texts are made from the edges, and rows are made once: nothing is numbered, as no number is asked for."""
+    from nodeloom.plans import catalog_queries
+
+    if not (data := Path("/root/testdata/sf0.001")).exists():
+        pytest.skip("no test data")
+    plan = catalog_queries.QUERIES["spanning_documents"](spark, str(data))._jdf.queryExecution().executedPlan().toString()
+    top = plan[: plan.index("Generate inline")]
+    assert "Json" in plan and not any(x in top for x in ("Json", "Exchange", "Sort", "Join", "Window")) and plan.count("Generate inline") == 1
